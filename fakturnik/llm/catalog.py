@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["queries_tokens", "queries_text"]
+_MODULES = ["queries_tokens", "queries_text", "queries_links"]
 
 
 def _modules() -> list:
