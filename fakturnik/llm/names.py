@@ -201,31 +201,49 @@ def deletions(word: str) -> set[str]:
     return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(most + 1) for gone in combinations(range(n), k)}
 
 
+FACTS = ["kind", "line", "form", "first", "city"]
+
+
 def core_roots(cores: DataFrame) -> DataFrame:
-    """(what, core, root) from (what, core, n): misspelt cores point to the core they most likely stand for."""
+    """(what, core, root) from (what, core, n and the sets of FACTS): misspelt cores point to the core they most likely stand for."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(w, c, n, d) for w, c, n in zip(pdf["what"], pdf["core"], pdf["n"], strict=True) if len(c) <= 40 for d in deletions(c)]
             yield pd.DataFrame(rows, columns=["what", "core", "n", "part"])
 
-    index = cut(cores.mapInPandas(emit, "what string, core string, n bigint, part string"), "deletes")
+    index = cut(cores.select("what", "core", "n").mapInPandas(emit, "what string, core string, n bigint, part string"), "deletes")
     a, b = index.alias("a"), index.alias("b")
     more = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.core") < F.col("a.core")))
+    close = F.levenshtein(F.col("a.core"), F.col("b.core"), 3)  # an exchange of neighbours counts as two here
+    # A core that was typed alike by several is no misspelling of two edits, nor one edit from an equal.
+    likely = (F.col("a.n") <= 2) | (F.col("b.n") >= 3 * F.col("a.n"))
     met = (
-        a.join(b, (F.col("a.what") == F.col("b.what")) & (F.col("a.part") == F.col("b.part")) & more)
+        a.join(b, (F.col("a.what") == F.col("b.what")) & (F.col("a.part") == F.col("b.part")) & more & likely)
+        .filter((close >= 0) & ((close <= 2) | (F.length("a.core") >= 9)))
         .select("a.what", "a.core", F.col("a.n").alias("n"), F.col("b.core").alias("to"), F.col("b.n").alias("m"))
         .distinct()
     )
+    mine = cores.select("what", "core", *[F.col(c).alias(f"my_{c}") for c in FACTS])
+    theirs = cores.select("what", F.col("core").alias("to"), *[F.col(c).alias(f"to_{c}") for c in FACTS])
+    met = met.join(mine, ["what", "core"]).join(theirs, ["what", "to"])
+    agree = F.lit(True)
+    for c in FACTS:
+        one, other = F.col(f"my_{c}"), F.col(f"to_{c}")
+        if c == "first":  # an initial agrees with every name that begins so
+            one, other = [F.array_distinct(F.transform(x, lambda f: F.substring(f, 1, 1))) for x in (one, other)]
+        met_fact = (F.size(one) == 0) | (F.size(other) == 0) | F.arrays_overlap(one, other)
+        agree = agree & (met_fact if c != "city" else F.lit(True))
+        met = met.withColumn(f"ok_{c}", met_fact)
+    met = met.filter(agree).select("what", "core", "n", "to", "m", "ok_city")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             d = [distance(x, y) for x, y in zip(pdf["core"], pdf["to"], strict=True)]
             yield pdf.assign(d=d)[lambda p: p["d"] <= 2]
 
-    edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, d int")
-    # A core that was typed alike by several is no misspelling of two edits, nor one edit from an equal.
-    edges = edges.filter((F.col("d") == 1) & ((F.col("n") <= 2) | (F.col("m") >= 3 * F.col("n"))) | (F.col("d") == 2) & (F.col("n") == 1) & (F.length("core") >= 9))
+    edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, ok_city boolean, d int")
+    edges = edges.filter((F.col("d") == 1) | (F.col("d") == 2) & (F.col("n") == 1) & F.col("ok_city") & (F.length("core") >= 9))
     best = edges.groupBy("what", "core").agg(F.min_by("to", F.struct("d", -F.col("m"), "to")).alias("root"))
     up = cut(best, "pointers")
     step = up
@@ -241,44 +259,41 @@ def core_roots(cores: DataFrame) -> DataFrame:
 SIGN = ["what", "root", "kind", "line", "form", "first", "city", "nip"]
 
 
-def _resolve(pdf: pd.DataFrame) -> list[str]:
-    """The entity label of each signature row of one root. Rows: kind, line, form, first, city, nip, n."""
-    if pdf["what"].iloc[0] == "person":
-        full = sorted({f for f in pdf["first"] if len(f) > 1})
-        by_initial: dict[str, list[str]] = {}
-        for f in full:
-            by_initial.setdefault(f[0], []).append(f)
+#: Signature rows that one group of roots holds on average.
+GROUP_ROWS = 5_000
+
+
+def resolve(rows: list[dict]) -> list[str]:
+    """The entity label of each signature row of one root."""
+    if rows[0]["what"] == "person":
+        full = sorted({r["first"] for r in rows if len(r["first"]) > 1})
         out = []
-        for f, city in zip(pdf["first"], pdf["city"], strict=True):
+        for r in rows:
+            f = r["first"]
             if len(f) > 1:
                 out.append(f)
                 continue
-            options = by_initial.get(f, [])
-            if len(options) > 1 and isinstance(city, str):
-                same = sorted({g for g, c in zip(pdf["first"], pdf["city"], strict=True) if g in options and c == city})
+            options = [g for g in full if g[0] == f]
+            if len(options) > 1 and r["city"] is not None:
+                same = sorted({q["first"] for q in rows if q["first"] in options and q["city"] == r["city"]})
                 options = same if len(same) == 1 else options
             out.append(options[0] if len(options) == 1 else f)
         return out
-    lines = sorted({x for x in pdf["line"] if isinstance(x, str)})
+    lines = sorted({r["line"] for r in rows if r["line"] is not None})
     if len(lines) <= 1:
-        return ["firm"] * len(pdf)
-    facts: dict[str, dict[str, set]] = {x: {c: set() for c in ("nip", "city", "kind", "form")} for x in lines}
-    for r in pdf.itertuples():
-        if isinstance(r.line, str):
-            for c in ("nip", "city", "kind", "form"):
-                if isinstance(getattr(r, c), str):
-                    facts[r.line][c].add(getattr(r, c))
+        return ["firm"] * len(rows)
+    order = ("nip", "city", "kind", "form")
+    facts = {x: {c: {r[c] for r in rows if r["line"] == x and r[c] is not None} for c in order} for x in lines}
     out = []
-    for r in pdf.itertuples():
-        if isinstance(r.line, str):
-            out.append(r.line)
+    for r in rows:
+        if r["line"] is not None:
+            out.append(r["line"])
             continue
         options, pick = lines, None
-        for c in ("nip", "city", "kind", "form"):
-            v = getattr(r, c)
-            if not isinstance(v, str):
+        for c in order:
+            if r[c] is None:
                 continue
-            agree = [x for x in options if v in facts[x][c]]
+            agree = [x for x in options if r[c] in facts[x][c]]
             if len(agree) == 1:
                 pick = agree[0]
                 break
@@ -293,15 +308,21 @@ def classes(parties: DataFrame) -> DataFrame:
     rows = parties.select(F.col("party_id").cast("bigint").alias("party_id"), "name", F.lower(F.trim("city")).alias("city"), F.regexp_replace("nip", "[^0-9]", "").alias("nip")).distinct()
     names = cut(parsed(rows), "names")
     known = cut(rows.join(names, "name").drop("name"), "known")
-    cores = known.groupBy("what", "core").agg(F.count_distinct("party_id").alias("n"))
+    cores = known.groupBy("what", "core").agg(F.count_distinct("party_id").alias("n"), *[F.collect_set(c).alias(c) for c in FACTS])
     roots = core_roots(cut(cores, "cores"))
     placed = cut(known.join(roots, ["what", "core"]), "placed")
-    signs = placed.groupBy(*SIGN).agg(F.count(F.lit(1)).alias("n"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(entity=[f"{w}|{r}|{e}" for w, r, e in zip(pdf["what"], pdf["root"], _resolve(pdf), strict=True)])[[*SIGN, "entity"]]
-
-    found = signs.groupBy("what", "root").applyInPandas(one, ", ".join(f"{c} string" for c in [*SIGN, "entity"]))
+    signs = cut(placed.select(*SIGN).distinct(), "signs")
+    groups = max(1, signs.count() // GROUP_ROWS)
+    names_of = [*SIGN, "entity"]
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_root: dict[tuple, list[dict]] = {}
+        for r in pdf[SIGN].astype(object).where(pdf[SIGN].notna(), None).to_dict("records"):
+            by_root.setdefault((r["what"], r["root"]), []).append(r)
+        out = [(*r.values(), f"{w}|{root}|{e}") for (w, root), rows in by_root.items() for r, e in zip(rows, resolve(rows), strict=True)]
+        return pd.DataFrame(out, columns=names_of)
+
+    found = signs.withColumn("group", F.pmod(F.xxhash64("what", "root"), F.lit(groups))).groupBy("group").applyInPandas(many, ", ".join(f"{c} string" for c in names_of))
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in SIGN]
     return placed.alias("p").join(found.alias("f"), on).select("p.party_id", "f.entity").distinct()
 
