@@ -7,8 +7,8 @@
   cost wins, and what no role takes is the core.
 * Symmetric-delete index: every distinct core emits the strings left when up to two signs are deleted;
   cores that meet in one are compared (one edit or exchange of neighbours, or two edits in a long core
-  that occurs once). A core points to its best neighbour with more records, and pointers are followed to
-  their end, so a chain of misspellings meets in one root without pairs inside a group.
+  that occurs once; what else is known of the two must not disagree). Components of the links get the
+  smallest core as their root, by labels that travel along the links, without pairs inside a group.
 * Resolution inside a root: people by first name, an initial or nickname joins the only first name it can
   stand for; firms by line of business, a name without it joins the only firm it agrees with (kind, form,
   tax number and town decide where several share the core).
@@ -153,6 +153,8 @@ def parse(name: str | None) -> tuple:
         return EMPTY
     if form is None and kind is None and line is None or any(SURNAME.search(t) for t in rest):
         first = None
+        if len(rest) >= 3 and "p" in rest:  # short for a form of address
+            rest.remove("p")
         if len(rest) >= 2:
             for at, t in enumerate(rest):
                 if t in NAME_OF:
@@ -244,16 +246,30 @@ def core_roots(cores: DataFrame) -> DataFrame:
 
     edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, ok_city boolean, d int")
     edges = edges.filter((F.col("d") == 1) | (F.col("d") == 2) & (F.col("n") == 1) & F.col("ok_city") & (F.length("core") >= 9))
-    best = edges.groupBy("what", "core").agg(F.min_by("to", F.struct("d", -F.col("m"), "to")).alias("root"))
-    up = cut(best, "pointers")
-    step = up
-    while True:  # pointer jumping: the depth halves with each round, and a chain is a few misspellings long
-        nxt = step.alias("s").join(step.select("what", F.col("core").alias("root"), F.col("root").alias("far")).alias("t"), ["what", "root"], "left")
-        moved = cut(nxt.select("what", "core", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "jump")
-        step = moved.drop("moved")
+    edges = cut(edges.select("what", "core", "to", "d"), "edges")
+    # Two edits count only for a core that has no neighbour at one.
+    near_by = edges.filter("d = 1").select("what", "core").distinct()
+    edges = edges.filter("d = 1").unionByName(edges.filter("d = 2").join(near_by, ["what", "core"], "left_anti"))
+    return cores.join(components(edges.select("what", "core", "to")), ["what", "core"], "left").select("what", "core", F.coalesce("root", "core").alias("root"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(what, core, root) for every core with an edge: the smallest core of its component.
+
+    The smallest label travels along the edges, and each round also jumps to the label of the label, so
+    the rounds grow with the logarithm of the longest chain of misspellings.
+    """
+    both = cut(edges.unionByName(edges.select("what", F.col("to").alias("core"), F.col("core").alias("to"))).distinct(), "both")
+    labels = cut(both.groupBy("what", "core").agg(F.least("core", F.min("to")).alias("root")), "labels")
+    while True:
+        theirs = labels.select("what", F.col("core").alias("to"), F.col("root").alias("other"))
+        least = both.join(theirs, ["what", "to"]).groupBy("what", "core").agg(F.min("other").alias("other"))
+        far = labels.select("what", F.col("core").alias("root"), F.col("root").alias("far"))
+        new = labels.join(least, ["what", "core"]).join(far, ["what", "root"], "left").withColumn("next", F.least("root", "other", "far"))
+        moved = cut(new.select("what", "core", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "labels")
+        labels = moved.drop("moved")
         if moved.filter("moved").isEmpty():
-            break
-    return cores.join(step, ["what", "core"], "left").select("what", "core", F.coalesce("root", "core").alias("root"))
+            return labels
 
 
 SIGN = ["what", "root", "kind", "line", "form", "first", "city", "nip"]
