@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import mojibake
+from . import abuse, mojibake
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,18 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "pdf_contents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return out.filter(f"score > {abuse.THRESHOLD}").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p10_found, p10_scores, p10_source_rates)}
 ORACLES: dict[str, str] = {}
