@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import abuse, mojibake
+from . import abuse, mojibake, pii
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "pdf_contents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "extract_results"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.records(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "extract_results"))
+    return pii.redact(rows, ["doc_id", "number"]).select("doc_id", "number", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
     return out.filter(f"score > {abuse.THRESHOLD}").select("doc_id").distinct()
@@ -29,5 +38,5 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p10_found, p10_scores, p10_source_rates)}
 ORACLES: dict[str, str] = {}
