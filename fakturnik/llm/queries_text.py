@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import abuse, mojibake, pii
+from . import abuse, mojibake, pii, scan_noise
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(rows, ["doc_id", "number"]).select("doc_id", "number", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.found(*(table(spark, sf_dir, t) for t in ("ocr_results", "text_boxes", "extract_results")))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(*(table(spark, sf_dir, t) for t in ("ocr_results", "text_boxes", "extract_results")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
     return out.filter(f"score > {abuse.THRESHOLD}").select("doc_id").distinct()
@@ -38,5 +46,5 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p3_found, p3_repaired, p10_found, p10_scores, p10_source_rates)}
 ORACLES: dict[str, str] = {}
