@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import extraction, pages, quality
 
-_MODULES = [quality]
+_MODULES = [quality, extraction, pages]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.p5_history(spark, sf_dir)
+    return extraction.invoice_records(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,3 +39,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; exact for a table that was just written by ``cut``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over at least as many partitions as there are cores.
+
+    A small table in one file is one task; work that costs far more per row than moving the row is
+    then spread. A table that is read in more splits than cores (any large one) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
