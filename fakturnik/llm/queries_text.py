@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
+from ..runtime import spread, table
 from . import abuse, mojibake, pii, scan_noise
 
 
@@ -34,12 +34,12 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    out = abuse.scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "doc_labels"))
     return out.filter(f"score > {abuse.THRESHOLD}").select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return abuse.scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "doc_labels"))
 
 
 def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
