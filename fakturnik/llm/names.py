@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,6 +197,46 @@ def parsed(parties: DataFrame) -> DataFrame:
     return names.mapInPandas(run, "name string, what string, core string, kind string, line string, form string, first string")
 
 
+#: Cost of aligning a token with its short form, with an initial, and per edit; more than LIMIT in all is no match.
+SHORT, INITIAL, EDIT, LIMIT = 0.1, 0.2, 0.3, 0.9
+
+
+def token_cost(a: str, b: str) -> float:
+    """Cost of taking two tokens for the same word; 1 or more if they are not."""
+    if a == b:
+        return 0.0
+    if NAME_OF.get(a, a) == NAME_OF.get(b, b):
+        return SHORT
+    short, long = sorted((a, b), key=len)
+    if len(short) == 1:
+        return INITIAL if long.startswith(short) else 1.0
+    if len(short) >= 3 and long.startswith(short):
+        return SHORT
+    d = distance(a, b)
+    return EDIT * d if d <= (2 if len(short) >= 8 else 1) else 1.0
+
+
+def align(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Least cost of assigning the tokens of the shorter name to different tokens of the longer one.
+
+    A dynamic program over the sets of used tokens; names have a handful of tokens. Tokens that only one
+    name has are missing parts and cost nothing.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    best = {0: 0.0}
+    for x in a:
+        step: dict[int, float] = {}
+        for used, cost in best.items():
+            for j, y in enumerate(b):
+                if not used >> j & 1:
+                    key, new = used | 1 << j, cost + token_cost(x, y)
+                    if new < step.get(key, 99.0):
+                        step[key] = new
+        best = step
+    return min(best.values(), default=0.0)
+
+
 def deletions(word: str) -> set[str]:
     """The word without up to two of its signs (one in a short word)."""
     n = len(word)
@@ -237,14 +278,24 @@ def core_roots(cores: DataFrame) -> DataFrame:
         met_fact = (F.size(one) == 0) | (F.size(other) == 0) | F.arrays_overlap(one, other)
         agree = agree & (met_fact if c != "city" else F.lit(True))
         met = met.withColumn(f"ok_{c}", met_fact)
-    met = met.filter(agree).select("what", "core", "n", "to", "m", "ok_city")
+    # The tokens beside the core: of each role that both sides fill, a token they share, or the only ones they have.
+    def tokens(side: str):
+        out = []
+        for c in ("kind", "line", "first"):
+            common = F.array_min(F.array_intersect(f"my_{c}", f"to_{c}"))
+            single = (F.size(f"my_{c}") == 1) & (F.size(f"to_{c}") == 1)
+            out.append(F.coalesce(common, F.when(single, F.get(f"{side}_{c}", F.lit(0)))))
+        return F.array_compact(F.array(*out))
+
+    met = met.filter(agree).select("what", "core", "n", "to", "m", "ok_city", tokens("my").alias("mine"), tokens("to").alias("theirs"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = [distance(x, y) for x, y in zip(pdf["core"], pdf["to"], strict=True)]
-            yield pdf.assign(d=d)[lambda p: p["d"] <= 2]
+            d = np.array([distance(x, y) for x, y in zip(pdf["core"], pdf["to"], strict=True)], dtype=np.int32)
+            cost = [align((x, *a), (y, *b)) for x, y, a, b in zip(pdf["core"], pdf["to"], pdf["mine"], pdf["theirs"], strict=True)]
+            yield pdf.assign(d=d, cost=cost)[lambda p: (p["d"] <= 2) & (p["cost"] <= LIMIT)].drop(columns=["mine", "theirs"])
 
-    edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, ok_city boolean, d int")
+    edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, ok_city boolean, d int, cost double")
     edges = edges.filter((F.col("d") == 1) | (F.col("d") == 2) & (F.col("n") == 1) & F.col("ok_city") & (F.length("core") >= 9))
     edges = cut(edges.select("what", "core", "to", "d"), "edges")
     # Two edits count only for a core that has no neighbour at one.
