@@ -71,7 +71,7 @@ def invoice_fields() -> list[FieldSpec]:
             at("header.due_date").cast("string"),
             _judged(issued=at("header.issue_date"), due=at("header.due_date")),
             broken=F.coalesce((j.due < j.issued) | (j.due > F.add_months(j.issued, 120)), F.lit(False)),
-            measure=F.greatest(F.lit(-400), F.least(F.lit(4000), late)).cast("double"),
+            measure=F.when(late.isNotNull(), F.greatest(F.lit(-400), F.least(F.lit(4000), late)).cast("double")),
         ),
     ]
 
