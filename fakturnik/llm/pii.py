@@ -345,18 +345,37 @@ def model() -> boosting.Boosted:
 
 def select(text: str | None, trees: boosting.Boosted) -> list[tuple[str, int, int]]:
     """The spans of a text that are personal information, in order."""
-    if not text:
-        return []
-    spans = candidates(text)
-    if not spans:
-        return []
-    chance = trees.chance(features(text, spans))
-    order = sorted((-c, -(s[2] - s[1]), s) for c, s in zip(chance, spans, strict=True) if c > THRESHOLDS[s[0]])
-    taken: list[tuple[str, int, int]] = []
-    for _, _, span in order:
-        if all(span[2] <= s or e <= span[1] for _, s, e in taken):
-            taken.append(span)
-    return sorted(taken, key=lambda s: s[1])
+    return next(select_all([text], trees))
+
+
+#: Spans that are rated in one pass over the trees.
+RATED = 4_000
+
+
+def select_all(texts: list[str | None], trees: boosting.Boosted) -> Iterator[list[tuple[str, int, int]]]:
+    """``select`` for many texts; the trees run over the spans of many texts at once."""
+    waiting: list[list[tuple[str, int, int]]] = []
+    rows: list[np.ndarray] = []
+    for text in texts:
+        spans = candidates(text) if text else []
+        waiting.append(spans)
+        if spans:
+            rows.append(features(text, spans))
+        if sum(map(len, rows)) >= RATED:
+            yield from _selected(waiting, rows, trees)
+            waiting, rows = [], []
+    yield from _selected(waiting, rows, trees)
+
+
+def _selected(waiting: list[list[tuple[str, int, int]]], rows: list[np.ndarray], trees: boosting.Boosted) -> Iterator[list[tuple[str, int, int]]]:
+    chances = iter(trees.chance(np.concatenate(rows)).tolist() if rows else [])
+    for spans in waiting:
+        order = sorted((-c, -(s[2] - s[1]), s) for s, c in zip(spans, chances, strict=False) if c > THRESHOLDS[s[0]])
+        taken: list[tuple[str, int, int]] = []
+        for _, _, span in order:
+            if all(span[2] <= s or e <= span[1] for _, s, e in taken):
+                taken.append(span)
+        yield sorted(taken, key=lambda s: s[1])
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -382,9 +401,8 @@ def redact(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, kinds = [], []
-            for t in pdf[text]:
-                t = t if isinstance(t, str) else None
-                spans = select(t, trees.value)
+            given = [t if isinstance(t, str) else None for t in pdf[text]]
+            for t, spans in zip(given, select_all(given, trees.value), strict=True):
                 texts.append(redacted(t, spans))
                 kinds.append(list(dict.fromkeys(k for k, _, _ in spans)))
             yield pdf[key].assign(text=texts, kinds=kinds)
