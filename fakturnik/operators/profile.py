@@ -35,6 +35,7 @@ class FieldSpec:
     judged: Column | None = None
     broken: Column | None = None  # over the column ``judged``
     measure: Column | None = None  # over the column ``judged``; binned, so that its domain is bounded
+    kind: str = "string"  # the column's own type, in whose order its range is taken
 
 
 def _judged(**parts: Column) -> Column:
@@ -59,6 +60,7 @@ def invoice_fields() -> list[FieldSpec]:
             broken=((j.gross < 0) & ~F.coalesce(j.text == "correction", F.lit(False)))
             | F.coalesce(F.abs(j.gross - (j.net + j.vat)) > F.lit("0.01").cast("decimal(20,2)"), F.lit(False)),
             measure=F.when(j.gross != 0, F.round(F.log10(F.abs(j.gross).cast("double")), 1)),
+            kind="decimal(20,2)",
         ),
         FieldSpec(
             "header.invoice_number",
@@ -72,6 +74,7 @@ def invoice_fields() -> list[FieldSpec]:
             _judged(issued=at("header.issue_date"), due=at("header.due_date")),
             broken=F.coalesce((j.due < j.issued) | (j.due > F.add_months(j.issued, 120)), F.lit(False)),
             measure=F.when(late.isNotNull(), F.greatest(F.lit(-400), F.least(F.lit(4000), late)).cast("double")),
+            kind="date",
         ),
     ]
 
@@ -91,7 +94,8 @@ def leaf_fields(schema: T.StructType, skip: tuple[str, ...] = ()) -> list[FieldS
                 continue
             c = F.col(".".join(f"`{p}`" for p in path))
             nested = isinstance(f.dataType, (T.ArrayType, T.MapType))
-            out.append(FieldSpec(name, F.to_json(c) if nested else c.cast("string")))
+            ordered = isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+            out.append(FieldSpec(name, F.to_json(c) if nested else c.cast("string"), kind=f.dataType.simpleString() if ordered else "string"))
 
     walk(schema, [])
     return out
@@ -164,8 +168,25 @@ def notation(value: Column) -> Column:
     return F.substring(v, 1, 40)
 
 
+def _typed_ranges(fields: list[FieldSpec]) -> tuple[list[Column], Column, Column]:
+    """Aggregates of the least and largest value in each type of the fields, and both ends as text."""
+    slots, low, high = [], F.col("min_text"), F.col("max_text")
+    for k, kind in enumerate(sorted({s.kind for s in fields} - {"string"})):
+        own = F.col("field").isin(*[s.name for s in fields if s.kind == kind])
+        typed = F.when(own, F.col("value").cast(kind))
+        slots += [F.min(typed).alias(f"_low{k}"), F.max(typed).alias(f"_high{k}")]
+        low = F.when(own, F.col(f"_low{k}").cast("string")).otherwise(low)
+        high = F.when(own, F.col(f"_high{k}").cast("string")).otherwise(high)
+    return slots, low, high
+
+
 def profile(state: DataFrame, fields: list[FieldSpec]) -> DataFrame:
-    """The whole-table profile of every field, from the maintained counts."""
+    """The whole-table profile of every field, from the maintained counts.
+
+    The range (min_value, max_value) is in the order of the column's own type and written as text;
+    min_text and max_text are the ends in text order.
+    """
+    slots, low, high = _typed_ranges(fields)
     values = state.groupBy("field", "value").agg(F.sum("n").alias("n"), F.sum(F.when(_broken_column(fields), F.col("n")).otherwise(0)).alias("bad"))
     there = F.col("value").isNotNull()
     n = F.col("n").cast("double")
@@ -175,8 +196,9 @@ def profile(state: DataFrame, fields: list[FieldSpec]) -> DataFrame:
             F.sum("n").alias("rows"),
             F.sum(F.when(~there, F.col("n")).otherwise(0)).alias("nulls"),
             F.count("value").alias("distinct_values"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
+            F.min("value").alias("min_text"),
+            F.max("value").alias("max_text"),
+            *slots,
             F.min(F.length("value")).alias("min_length"),
             F.max(F.length("value")).alias("max_length"),
             F.sum("bad").alias("broken"),
@@ -189,11 +211,13 @@ def profile(state: DataFrame, fields: list[FieldSpec]) -> DataFrame:
             "nulls",
             F.round(F.col("nulls") / F.col("rows"), 6).alias("null_rate"),
             "distinct_values",
-            "min_value",
-            "max_value",
+            low.alias("min_value"),
+            high.alias("max_value"),
+            "min_text",
+            "max_text",
             "min_length",
             "max_length",
-            "broken",
+            F.when(F.col("field").isin(*[s.name for s in fields if s.broken is not None]), F.col("broken")).alias("broken"),
             F.abs(F.round(F.log2(F.col("_n")) - F.col("_nlogn") / F.col("_n"), 4)).alias("entropy"),
         )
     )

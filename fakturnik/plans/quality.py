@@ -13,7 +13,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.quality_cases(table(spark, sf_dir, "invoices"))
 
 
-def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every invoice column, from counts maintained over two deltas."""
     rows = table(spark, sf_dir, "invoices")
     judged = {s.name: s for s in profile.invoice_fields()}
@@ -22,7 +22,18 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = profile.CountStore(spark)
     store.commit(profile.counts(rows.filter(odd), fields))
     state = store.commit(profile.counts(rows.filter(~odd), fields))
-    return profile.profile(state, fields).drop("broken", "min_length", "max_length")
+    return profile.profile(state, fields)
+
+
+def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the profile that its SQL states; there the range is in text order."""
+    out = _profile(spark, sf_dir).drop("min_value", "max_value", "broken", "min_length", "max_length")
+    return out.withColumnsRenamed({"min_text": "min_value", "max_text": "max_value"})
+
+
+def p4_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole profile: the range in the column's own order, broken values (null where no rule judges the column) and lengths too."""
+    return _profile(spark, sf_dir).drop("min_text", "max_text")
 
 
 def p4_load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +42,14 @@ def p4_load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field", "load", "rows", F.round("null_share", 6).alias("null_share"), F.round("top_share", 6).alias("top_share"))
 
 
+def p4_load_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that loads are compared by: the metrics, the middle of the field's scale and the distance of its notations."""
+    fields = profile.invoice_fields()
+    state = profile.CountStore(spark).commit(profile.counts(table(spark, sf_dir, "invoices"), fields))
+    out = profile.load_metrics(state, fields).join(profile.notation_distance(state), ["field", "load"], "left")
+    return out.select("field", "load", "rows", *[F.round(c, 6).alias(c) for c in ("null_share", "top_share", "middle", "apart")])
+
+
 def p4_load_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = profile.invoice_fields()
     out = profile.load_departures(profile.counts(table(spark, sf_dir, "invoices"), fields), fields)
@@ -47,7 +66,7 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("nip", F.col("version").cast("bigint").alias("version"), "valid_from", "valid_to", "bank_account", "street", "postal_code", "city")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_profile, p4_load_metrics, p4_load_changes, p5_found, p5_history)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_profile, p4_profile_whole, p4_load_metrics, p4_load_measures, p4_load_changes, p5_found, p5_history)}
 
 _LEAVES = (
     ["row_id", "doc_id", "load_id", "loaded_at"]

@@ -56,6 +56,18 @@ def test_departing_loads(spark):
     assert got == {("header.invoice_number", 7), ("summary.total_gross", 7), ("header.due_date", 7)}
 
 
+def test_profile_range_and_broken_values(spark, tmp_path):
+    from fakturnik.plans import quality
+
+    rows = [invoice(1, gross=-9, net=-9, vat=0), invoice(2, gross=-100, net=-100, vat=0), invoice(10, load=2, gross=9, net=9, vat=0), invoice(3, load=2, gross=1000, net=1000, vat=0, nip="123")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "invoices.parquet"))
+    got = {r["field"]: r for r in quality.p4_profile_whole(spark, str(tmp_path)).collect()}
+    assert [(got[f]["min_value"], got[f]["max_value"]) for f in ("summary.total_gross", "row_id")] == [("-100.00", "1000.00"), ("1", "10")]
+    assert [got[f]["broken"] for f in ("summary.total_gross", "issuer.nip", "row_id")] == [2, 1, None] and got["issuer.nip"]["min_length"] == 3
+    loads = quality.p4_load_measures(spark, str(tmp_path)).filter("field = 'summary.total_gross'").orderBy("load").collect()
+    assert [r["middle"] for r in loads] == [1.5, 2.0] and all(r["apart"] is not None for r in loads)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert profile.quality_cases(none).count() == 0
