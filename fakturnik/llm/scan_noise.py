@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .names import FOLD, distance
 
 #: What recognition makes of letters (right, read); the noise that the editor is trained on.
@@ -43,6 +43,8 @@ CONFUSIONS = [
 ]
 #: Frequent words that the editor is trained on at most.
 TRAINING_WORDS = 1_500
+#: Proposals that a worker holds at a time, about.
+PROPOSED = 10_000
 MARKS = "-¬‐­=‑"
 LETTERS = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźżäöüßé"
 #: The usual tails of running headings (folded).
@@ -92,11 +94,11 @@ class Editor:
         self.w = {k: v - total[k] / max(1, step) for k, v in self.w.items() if v or total[k]}
         return self
 
-    def proposals(self, word: str, units: int = 8, most: int = 3) -> list[str]:
-        """Words that the likeliest edit sequences make of the word, the best first.
+    def proposals(self, word: str, most: int = 3) -> list[str]:
+        """Words that edit sequences make of the word, the likeliest first.
 
-        The best label of every place makes the first proposal. Then come the sequences of up to ``most``
-        edits out of the ``units`` likeliest, an edit being a replacement with the deletions that belong to it.
+        The best label of every place makes the first proposal. Then come all sequences of up to ``most``
+        edits at any places, an edit being a replacement with the deletions that belong to it.
         """
         ranks = [dict((y, s) for s, y in self.rank(word, i)) for i in range(len(word))]
         best = [max(r, key=lambda y: (r[y], y == "")) for r in ranks]
@@ -107,21 +109,15 @@ class Editor:
             while at >= 0:
                 gain = ranks[at].get(right, -5.0) - ranks[at].get("", 0.0)
                 gain += sum(ranks[at + k].get("\0", -5.0) - ranks[at + k].get("", 0.0) for k in range(1, len(read)))
-                edits.append((gain / len(read), at, at + len(read), right))
+                edits.append((at, at + len(read), right, gain / len(read)))
                 at = word.find(read, at + 1)
-        edits = sorted(edits, reverse=True)[:units]
-        plans = []
-        for k in range(1, most + 1):
-            for plan in combinations(edits, k):
-                spans = sorted((s, e, y) for _, s, e, y in plan)
-                if all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False)):
-                    plans.append((-sum(p[0] for p in plan), spans))
-        for _, spans in sorted(plans):
-            new, at = "", 0
-            for s, e, y in spans:
-                new += word[at:s] + y
-                at = e
-            out.setdefault(new + word[at:], None)
+        edits.sort()
+        # Beginnings of the new word: (loss, the text so far, where the rest of the old word begins, the next edit to try).
+        plans, begun = [], [(0.0, "", 0, 0)]
+        for _ in range(most):
+            begun = [(loss - gain, text + word[end:s] + right, e, k + 1) for loss, text, end, first in begun for k, (s, e, right, gain) in enumerate(edits[first:], first) if s >= end]
+            plans += [(loss, text + word[end:]) for loss, text, end, _ in begun]
+        out |= dict.fromkeys(new for _, new in sorted(plans) if new not in out)
         out.pop(word, None)
         return list(out)
 
@@ -305,15 +301,17 @@ def edits(counts: DataFrame) -> DataFrame:
         mine = Editor()
         mine.w, mine.options = sent.value
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
             for word, n in zip(pdf["word"], pdf["n"], strict=True):
-                forms = mine.proposals(word)
-                out += [(word, n, f, k) for k, f in enumerate(forms)]
+                out += [(word, n, f, k) for k, f in enumerate(mine.proposals(word))]
+                if len(out) >= PROPOSED:
+                    yield pd.DataFrame(out, columns=["word", "n", "fixed", "rank"])
+                    out = []
             yield pd.DataFrame(out, columns=["word", "n", "fixed", "rank"])
 
     # A word is judged in the case it has and, when it begins a sentence, as the small word too.
     rare = counts.filter(F.length("word") >= 3)
-    proposed = rare.mapInPandas(run, "word string, n bigint, fixed string, rank int")
+    proposed = spread(rare).mapInPandas(run, "word string, n bigint, fixed string, rank int")
     low = counts.groupBy(F.lower("word").alias("low")).agg(F.sum("n").alias("m"))
     met = proposed.join(low, F.lower("fixed") == F.col("low")).filter("m >= 4 AND m >= 12 * n")
     own = counts.groupBy(F.lower("word").alias("own")).agg(F.sum("n").alias("seen"))

@@ -100,6 +100,14 @@ def test_furniture_by_place():
     assert got == [{0, 4}, {0, 4}, set()]
 
 
+def test_every_edit_is_proposed():
+    editor, word = scan_noise.train(["uzgodniono", "rozdzielczą"]), "uzgoclniono"
+    singles = {word[:at] + right + word[at + len(read) :] for right, read in scan_noise.CONFUSIONS for at in range(len(word)) if word.startswith(read, at)}
+    pairs = {w[:at] + right + w[at + len(read) :] for w in ("uzgodniono",) for right, read in scan_noise.CONFUSIONS for at in range(5, len(w)) if w.startswith(read, at)}
+    untrained = scan_noise.Editor()
+    assert len(singles) > 8 and singles | pairs <= {*editor.proposals(word), word} and singles | pairs <= {*untrained.proposals(word), word}
+
+
 def test_scan_cases(spark):
     clean = "Ponownie sprawdzono zaległą notę odsetkową w dziale zakupów bez dodatkowych opłat oraz numer dokumentu"
     ocr = [(i, 1, clean, None) for i in range(30)] + [(50, 1, "Ponownie spraw-\ndzono zaległą notę\nbez dodat\nkowych opłat", None), (51, 1, "w dzia1e zakupóvv bez opłat", None), (52, 1, "zdawczo-\nodbiorczy numer", None), (53, 1, None, None), (54, 1, "", None)]
