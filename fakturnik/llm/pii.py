@@ -4,7 +4,8 @@ High-recall generators propose overlapping spans of five kinds (email, phone, id
 person_name). Each span gets features of its format (digits, check digits, grouping, word endings) and of
 its context (words before and after, other spans that hold it). Trees trained on generated, labelled
 sentences (``examples``) give a calibrated chance; spans over the kind's threshold are selected, the
-surest first and without overlap, and replaced by a placeholder of their kind.
+surest first and without overlap, and replaced by a placeholder of their kind. Names with an unusual or
+wrongly decoded surname are judged by trees of their own and yield to the other spans.
 
 Defined cases: null texts stay null and hold nothing; empty texts stay empty; a span may run over a line
 end; overlapping spans of one text keep the surest; repeated rows give the same result; texts of any
@@ -16,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +38,9 @@ AT = r"(?:\s?@\s?|\s?[\(\[{]\s?(?:at|małpa|malpa)\s?[\)\]}]\s?|\s(?:at|małpa)\
 DOT = r"(?:\s?\.\s?|\s?[\(\[{]\s?(?:kropka|dot|punkt)\s?[\)\]}]\s?|\s(?:kropka|dot)\s)"
 SURNAME = rf"[{UP}][\w@|]{{1,24}}?(?:[sScCzZ][kK](?:[iIaAąĄ]|ie[jJ]|IEJ|i[mM]|IM|iego|IEGO|iemu|IEMU)|[cC][zZ][aA][kK](?:a|A|owi|OWI|iem|em|IEM|EM|u|U)?|[wW][iI][cC][zZ](?:a|A|owi|OWI|em|EM|u|U)?)"
 WORD = rf"[{UP}][\w@|]{{2,24}}"
+#: A sign of a name, also one of the signs that a wrongly decoded letter leaves.
+SIGN = r"(?:[\w@|]|(?<=[ÃÄÅÂĂĹâ€])[^\s\w,;]|(?<=[ÃÄÅÂĂĹ])[\x80-\xa0]|[\x80-\x84\x86-\x9f¡£¥¦¬¯±¶¿�](?=\w))"
+ANY_NAME = rf"[{UP}ÃÄÅĂĹ]{SIGN}{{2,40}}"
 STREET = r"(?:[uU][lL]\.|[uU]lic[aąyę]|ULIC[AYĄĘ]|[aA][lL]\.|[aA]lej[aąię]|ALEJ[AI]|[aA]lei|[oO][sS]\.|[oO]siedl[eua]|OSIEDL[EUA]|[pP][lL]\.|[pP]lac(?:u|em)?|PLACU?)"
 HOUSE = r"\d{1,4}(?:\s?[A-Za-z](?![\w.]))?(?!\w)(?!\s?[/.:-]\s?\d+[/.:-]\d)(?![.:-]\d)(?:\s?(?:/|m\.|lok\.|mieszkanie|M\.|LOK\.|MIESZKANIE)\s?\d{1,4})?"
 GENERATORS = [
@@ -50,6 +55,16 @@ GENERATORS = [
     ("person_name", re.compile(rf"(?<![\w.-])(?:{WORD}\s+(?:[{UP}]\.\s?)?|[{UP}]\.\s?(?:[{UP}]\.\s?)?){SURNAME}(?![\w-])")),
     ("person_name", re.compile(rf"(?<![\w.-]){SURNAME},?\s+{WORD}(?![\w-])")),
 ]
+#: Names with any other surname, or with wrongly decoded signs; they have trees of their own.
+WIDE = [
+    ("person_name", re.compile(rf"(?<![\w.-])(?:(?P<first>{ANY_NAME})\s+(?:[{UP}]\.\s?)?|[{UP}]\.\s?(?:[{UP}]\.\s?)?){ANY_NAME}(?:-{ANY_NAME})?(?![\w-])")),
+    ("person_name", re.compile(rf"(?<![\w.-]){ANY_NAME}(?:-{ANY_NAME})?,?\s+(?P<first>{ANY_NAME})(?![\w-])")),
+]
+WIDE_PATTERNS = {p for _, p in WIDE}
+IN_STREET = re.compile(rf"(?<!\w){STREET}\s*(?:\w+\.\s*)*$")
+ENDING = re.compile(SURNAME)
+#: What is no letter of Polish; a run of it stands for one wrongly decoded letter.
+FOREIGN = re.compile(rf"(?:Ăł|[^A-Za-z{UP}{LOW}\d@|.,\s-]|[\x80-\xa0])+")
 FIRST_WORD = re.compile(r"\S+\s*")
 #: Words before a span (stems, folded) that speak for or against a kind.
 CUES = [
@@ -69,6 +84,11 @@ CUES = [
     ("pan pani panem panu prosbe adresat odbiorca zleceniobiorca podpisano wystawil zatwierdzil reklamacj rozmow kierowca", 44),
 ]
 FIRST_STEMS = {name[: max(4, len(name) - 3)] for name in FIRST} | {"oldz", "franciszk", "pawl", "elzbie", "doro", "zofi", "olg"}
+#: Further first names (folded), which only the names with other surnames look for.
+OTHER_FIRST = """adam adrian alicja aleksander aleksandra andrzej aneta anna antoni arkadiusz artur barbara beata bogdan bozena daniel danuta dariusz dominik edward emilia ewa ewelina filip gabriela halina hanna helena
+    irena izabela jacek jadwiga jakub jan janina janusz jaroslaw jerzy jozef jolanta julia justyna kamil karol karolina kinga klaudia konrad krystyna krzysztof leszek magdalena maciej marcin marek maria marian mariusz
+    marta mateusz michal miroslaw monika norbert patryk paulina piotr przemyslaw rafal renata roman ryszard sebastian slawomir sylwia szymon teresa tomasz wanda weronika wieslaw witold wladyslaw zbigniew zdzislaw zygmunt""".split()
+OTHER_STEMS = {name[:-1] if name.endswith("a") else {"marek": "mar", "jacek": "jac", "leszek": "lesz"}.get(name, name) for name in OTHER_FIRST}
 MISREAD = str.maketrans("0135@|", "olesal")
 
 
@@ -77,6 +97,14 @@ def first_name(word: str) -> bool:
     return any(w.startswith(s) and len(w) <= len(s) + 7 for s in FIRST_STEMS)
 
 
+@lru_cache(maxsize=100_000)
+def garbled_first_name(word: str) -> bool:
+    """``first_name`` where any letter may stand for a wrongly decoded one."""
+    w = FOREIGN.sub(".", word).lower().translate(FOLD).translate(MISREAD)
+    fits = lambda s, more: len(s) <= len(w) <= len(s) + more and all(c in (".", d) for c, d in zip(w, s, strict=False)) and sum(c == d for c, d in zip(w, s, strict=False)) >= min(3, len(s))
+    return first_name(word) or any(fits(s, 4) for s in OTHER_STEMS) or "." in w and any(fits(s, 7) for s in FIRST_STEMS)
+
+
 def pesel_ok(d: str) -> bool:
     if len(d) != 11 or not d.isdigit():
         return False
@@ -96,12 +124,15 @@ def card_ok(s: str) -> bool:
     return sum(v * w for i, (v, w) in enumerate(zip(value, weights, strict=True)) if i != at) % 10 == value[at]
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def candidates(text: str, wide: bool = True) -> list[tuple[str, int, int]]:
     out = set()
-    for kind, pattern in GENERATORS:
+    for kind, pattern in GENERATORS + WIDE * wide:
         at = 0
         while m := pattern.search(text, at):
-            out.add((kind, m.start(), m.end()))
+            first = m.groupdict().get("first")
+            street = pattern in WIDE_PATTERNS and IN_STREET.search(text, max(0, m.start() - 40), m.start())  # a name inside a street's is none
+            if not street and (first is None or garbled_first_name(first)):
+                out.add((kind, m.start(), m.end()))
             # Go on behind the first word, so that a span that begins inside this one is proposed too.
             step = FIRST_WORD.match(text, m.start()) if kind in ("person_name", "address") else None
             at = max(m.start() + 1, step.end() if step else m.end())
@@ -118,7 +149,9 @@ def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
         joined = re.sub(r"\s", "", span)
         before = text[max(0, s - 60) : s].lower().translate(FOLD)
         after = text[e : e + 24].lower().translate(FOLD)
-        words = re.findall(r"[^\W\d]+", span)
+        wide = kind == "person_name" and not any((m := p.match(text, s)) and m.end() == e for k, p in GENERATORS if k == kind)
+        words = re.findall(r"[^ \t\r\n,]+" if wide else r"[^\W\d]+", span)
+        firsts = garbled_first_name if wide else first_name
         cue = []
         for stems, reach in CUES:
             near = before[-reach:]
@@ -140,7 +173,7 @@ def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
                 float("@" in span),
                 float(bool(re.search(r"(?i)kropka|dot|małpa|\(at\)|\[at\]", span))),
                 float(bool(re.search(r"[.)\]\s][a-zA-Z]{2,10}$", span))),
-                float(any(first_name(w) for w in name_words)),
+                float(any(firsts(w) for w in name_words)),
                 float(bool(re.search(rf"(?<!\w)[{UP}]\.", span))),
                 float(len(name_words)),
                 float(bool(re.match(rf"[{UP}]", body))),
@@ -157,11 +190,16 @@ def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
                 float(bool(re.match(r"\W{1,3}\d{2}-\d{3}", after))),
                 float(bool(re.search(r"\d{2}-\d{3}\s+[a-z ]{3,30}\W{1,3}$", before))),
                 float(text[max(0, s - 1) : s] in ("", "\n")),
-                float(sum(first_name(w) for w in name_words)),
+                float(sum(firsts(w) for w in name_words)),
                 float(first_name(last_word) if len(last_word) > 2 else 0),
                 float(first_name(after_word[1]) if (after_word := re.match(rf"\W{{1,2}}([{UP}]\w+)", text[e : e + 24])) else 0),
                 float(len(span)),
                 *cue,
+                float(wide and any(ENDING.fullmatch(w) for w in words)),
+                float(wide and bool(FOREIGN.search(span))),
+                float(wide and bool(re.match(r"S\.\s?[AC]\.", span))),
+                float(wide and bool(re.search(r"(?<!\w)(?:NIP|REGON|KRS|VAT)$", span))),
+                float(wide),
             ]
         )
     return np.array(rows, dtype=float).reshape(len(spans), -1)
@@ -239,6 +277,17 @@ Towar odebrano w miejscowości <town> bez zastrzeżeń.
 Termin płatności upłynął <date>, saldo <money> zł.
 Magazyn czynny 7:00-15:30, kwota <money> zł @ 3 szt.
 Cena za sztukę @ <money> zł, rabat <n>%.""".split("\n")
+#: Sentences for training the trees of other surnames besides; none holds a person.
+OTHER_SENTENCES = """Model Zofia <town> w cenie <money> zł, <n> szt.
+Lampa Olga Biała, regał Robert Dąb, fotel Henryk Szary.
+A. Protokół odbioru, B. Karta gwarancyjna
+Rozdział C. Warunki dostawy, D. Postanowienia końcowe
+Odbiór w firmie Tadeusz <firm>.
+Sprzedawca: <firm>¶NIP: <nip>
+Nabywca: <firm>¶REGON <regon>
+Odbiorca <firm>¶<street> <n>¶<code> <town>
+<firm> <town> przyjęła <n> palet z magazynu <town>.
+<code> <town> Wielka, ul. <street> <n>""".replace("\n", "|").replace("¶", "\n").split("|")
 
 
 def _syllables(r: random.Random, n: int) -> str:
@@ -249,13 +298,22 @@ def _digits(r: random.Random, n: int) -> str:
     return "".join(str(r.randrange(10)) for _ in range(n))
 
 
-def _person(r: random.Random) -> str:
+def _misdecoded(text: str, r: random.Random) -> str:
+    """The text as it stands when its bytes were read in another encoding, once or twice."""
+    for _ in range(r.choice([1, 1, 2])):
+        text = text.encode().decode(r.choice(["cp1252", "cp1250", "latin-1"]), "replace")
+    return text
+
+
+def _person(r: random.Random, wide: bool = False) -> str:
     endings = ["ski", "skiego", "skiemu", "skim", "ska", "skiej", "ską", "cki", "ckiego", "cka", "ckiej", "czak", "czaka", "czakiem", "czakowi", "kiewicz", "kiewicza", "kiewiczem"]
     surname = _syllables(r, 2).capitalize() + r.choice(["ń", "r", "łow", ""]) + r.choice(endings)
+    if wide and r.random() < 0.6:
+        surname = _syllables(r, r.choice([1, 1, 2])).capitalize() + r.choice(["k", "ka", "kowi", "kiem", "s", "sa", "r", "rowi", "ń", "nia", "jcik", "jcika", "łek", "dt", "sz", "szowi", "ra", "rze", "ry"])
     first = r.choice(["Agnieszka", "Agnieszki", "Bartosz", "Bartosza", "Cezarym", "Dorocie", "Dorota", "Elżbietą", "Franciszka", "Grzegorzem", "Henryk", "Iwony", "Joanną", "Katarzyna", "Łukaszowi",
         "Małgorzaty", "Natalią", "Oldze", "Olga", "Pawła", "Robertem", "Stanisławowi", "Tadeusz", "Urszuli", "Wojciechem", "Zofię", "Małgorzata", "Elżbiecie", "Pawłem"])
     form = r.choice([f"{first} {surname}"] * 4 + [f"{surname} {first}"] * 2 + [f"{first[0]}. {surname}"] * 3 + [f"{first[0]}.{surname}", f"{first} {r.choice('ABEKMW')}. {surname}", f"{first} {surname}".upper(), f"{first}\n{surname}"])
-    return form
+    return _misdecoded(form, r) if wide and r.random() < 0.3 else form
 
 
 def _street(r: random.Random) -> str:
@@ -295,10 +353,10 @@ def _card(r: random.Random, letters: int) -> str:
             return s if r.random() < 0.7 else f"{s[:letters]} {s[letters:]}"
 
 
-def _slot(name: str, r: random.Random) -> str:
+def _slot(name: str, r: random.Random, wide: bool = False) -> str:
     nip = _digits(r, 10)
     return {
-        "NAME": lambda: _person(r), "PHONE": lambda: _phone(r), "EMAIL": lambda: _mail(r), "PESEL": lambda: _pesel(r), "CARD": lambda: _card(r, 3), "PASS": lambda: _card(r, 2), "ADDRESS": lambda: _home(r),
+        "NAME": lambda: _person(r, wide), "PHONE": lambda: _phone(r), "EMAIL": lambda: _mail(r), "PESEL": lambda: _pesel(r), "CARD": lambda: _card(r, 3), "PASS": lambda: _card(r, 2), "ADDRESS": lambda: _home(r),
         "date": lambda: r.choice([f"{r.randrange(1, 29):02d}.{r.randrange(1, 13):02d}.2023", f"2024-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", f"{r.randrange(1, 29)} maja 2022"]),
         "n": lambda: str(r.randrange(1, 400)), "town": lambda: _syllables(r, 2).capitalize() + r.choice(["wo", "nica", "ów", "owice Dolne", "owice Małe"]), "code": lambda: f"{_digits(r, 2)}-{_digits(r, 3)}",
         "firm": lambda: _syllables(r, 3).capitalize() + r.choice([" Sp. z o.o.", " S.A.", " Tekstylia sp. k.", " Stal sp. j.", " s.c.", " Meble S.A."]),
@@ -313,23 +371,23 @@ def _slot(name: str, r: random.Random) -> str:
 SLOT_KIND = {"NAME": "person_name", "PHONE": "phone", "EMAIL": "email", "PESEL": "id_number", "CARD": "id_number", "PASS": "id_number", "ADDRESS": "address"}
 
 
-def examples(count: int = 4_000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def examples(count: int = 4_000, seed: int = 7, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the candidates in ``count`` generated paragraphs of three sentences."""
     r = random.Random(seed)
     xs, ys = [], []
     for _ in range(count):
         text, truth = "", set()
-        for sentence in r.choices(SENTENCES, k=3):
+        for sentence in r.choices(SENTENCES + OTHER_SENTENCES * wide, k=3):
             at = 0
             for m in SLOT.finditer(sentence):
                 text += sentence[at : m.start()]
-                value = _slot(m[1], r)
+                value = _slot(m[1], r, wide)
                 if m[1] in SLOT_KIND:
                     truth.add((SLOT_KIND[m[1]], len(text), len(text) + len(value)))
                 text += value
                 at = m.end()
             text += sentence[at:] + r.choice([" ", " ", "\n"])
-        spans = candidates(text)
+        spans = candidates(text, wide)
         if spans:
             xs.append(features(text, spans))
             # A span counts as right when it covers a true span of its kind up to a word at either side.
@@ -337,13 +395,34 @@ def examples(count: int = 4_000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(xs), np.array(ys)
 
 
+#: Features at the end of a row that only the trees of other surnames read.
+OWN = 5
+
+
+@dataclass(frozen=True)
+class Trees:
+    """The trees of all kinds and those of names with other surnames."""
+
+    usual: boosting.Boosted
+    wide: boosting.Boosted
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        out, wide = np.zeros(len(x)), x[:, -1] == 1
+        for own, trees, rows in ((~wide, self.usual, x[:, :-OWN]), (wide, self.wide, x)):
+            if own.any():
+                out[own] = trees.chance(rows[own])
+        return out
+
+
 @lru_cache(maxsize=1)
-def model() -> boosting.Boosted:
+def model() -> Trees:
     x, y = examples()
-    return boosting.fit(x, y, trees=70)
+    wide_x, wide_y = examples(wide=True)
+    own = wide_x[:, -1] == 1
+    return Trees(boosting.fit(x[:, :-OWN], y, trees=70), boosting.fit(wide_x[own], wide_y[own], trees=70))
 
 
-def select(text: str | None, trees: boosting.Boosted) -> list[tuple[str, int, int]]:
+def select(text: str | None, trees: Trees) -> list[tuple[str, int, int]]:
     """The spans of a text that are personal information, in order."""
     return next(select_all([text], trees))
 
@@ -352,7 +431,7 @@ def select(text: str | None, trees: boosting.Boosted) -> list[tuple[str, int, in
 RATED = 4_000
 
 
-def select_all(texts: list[str | None], trees: boosting.Boosted) -> Iterator[list[tuple[str, int, int]]]:
+def select_all(texts: list[str | None], trees: Trees) -> Iterator[list[tuple[str, int, int]]]:
     """``select`` for many texts; the trees run over the spans of many texts at once."""
     waiting: list[list[tuple[str, int, int]]] = []
     rows: list[np.ndarray] = []
@@ -367,12 +446,13 @@ def select_all(texts: list[str | None], trees: boosting.Boosted) -> Iterator[lis
     yield from _selected(waiting, rows, trees)
 
 
-def _selected(waiting: list[list[tuple[str, int, int]]], rows: list[np.ndarray], trees: boosting.Boosted) -> Iterator[list[tuple[str, int, int]]]:
-    chances = iter(trees.chance(np.concatenate(rows)).tolist() if rows else [])
+def _selected(waiting: list[list[tuple[str, int, int]]], rows: list[np.ndarray], trees: Trees) -> Iterator[list[tuple[str, int, int]]]:
+    x = np.concatenate(rows) if rows else np.zeros((0, 1))
+    chances = iter(zip(x[:, -1].tolist(), trees.chance(x).tolist() if rows else [], strict=True))
     for spans in waiting:
-        order = sorted((-c, -(s[2] - s[1]), s) for s, c in zip(spans, chances, strict=False) if c > THRESHOLDS[s[0]])
+        order = sorted((wide, -c, -(s[2] - s[1]), s) for s, (wide, c) in zip(spans, chances, strict=False) if c > THRESHOLDS[s[0]])
         taken: list[tuple[str, int, int]] = []
-        for _, _, span in order:
+        for *_, span in order:
             if all(span[2] <= s or e <= span[1] for _, s, e in taken):
                 taken.append(span)
         yield sorted(taken, key=lambda s: s[1])

@@ -84,6 +84,18 @@ def test_kinds(text, kinds):
     assert {k for k, _, _ in pii.select(text, pii.model())} == kinds
 
 
+@pytest.mark.parametrize("name", ["Anna Nowak", "Dorota Wójcik", "A. Lis", "Robert Schmidt", "Nowak, Joanna", "Olga Lis-Wrona", "Oldze BugaĹ\x84skiej", "Tadeusza KiwoÃ…â€žskiego", "Iwona PasaĹ‚owska", "StanisĹ‚aw Nowak"])
+def test_every_surname_is_a_candidate(name):
+    text = f"Podpisano: {name}; dalej"
+    assert ("person_name", 11, 11 + len(name)) in pii.candidates(text)
+
+
+@pytest.mark.parametrize("name", ["Dorota Wójcik", "Robert Schmidt", "Oldze BugaĹ\x84skiej", "Tadeusza KiwoÃ…â€žskiego"])
+def test_every_surname_is_judged(name):
+    text = f"Rozmowę z {name} odnotowano w karcie."
+    assert pii.redacted(text, pii.select(text, pii.model())) == "Rozmowę z [PERSON_NAME] odnotowano w karcie."
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, 1, "tel. 691-922-059 i dalej", "a"), (1, 1, "tel. 691-922-059 i dalej", "a"), (2, 1, None, "b"), (3, 1, "x " * 20000 + "biuro@a.example", "c")], "doc_id bigint, number int, text string, kinds string")
     got = {r["doc_id"]: r for r in pii.redact(rows, ["doc_id", "number"]).collect()}
