@@ -160,12 +160,16 @@ def _measure_column(fields: list[FieldSpec]) -> Column:
     return out
 
 
+#: Stands for all rare notations; no notation holds it, since digits become 9.
+RARE = "0"
+
+
 def notation(value: Column) -> Column:
-    """The shape of a value: runs of digits, capitals and small letters each become one sign."""
+    """The shape of a value: runs of digits, capitals and small letters each become one sign; a long shape ends in its hash."""
     v = F.regexp_replace(value, "[0-9]+", "9")
     v = F.regexp_replace(v, r"\p{Lu}+", "A")
     v = F.regexp_replace(v, r"\p{Ll}+", "a")
-    return F.substring(v, 1, 40)
+    return F.when(F.length(v) <= 40, v).otherwise(F.concat(F.substring(v, 1, 40), F.sha2(v, 256)))
 
 
 def _typed_ranges(fields: list[FieldSpec]) -> tuple[list[Column], Column, Column]:
@@ -248,13 +252,16 @@ def load_metrics(state: DataFrame, fields: list[FieldSpec]) -> DataFrame:
 def notation_distance(state: DataFrame) -> DataFrame:
     """Per (field, load): half the summed difference between the load's notation shares and the median shares.
 
-    Notations that stay under 2 % in every load are pooled, so the table is bounded by loads times a
+    Notations that stay under 2 % in every load are pooled as one, so the table is bounded by loads times a
     few notations; a share that a load lacks counts as zero.
     """
     shapes = state.filter(F.col("value").isNotNull()).withColumn("shape", notation(F.col("value"))).groupBy("field", "load", "shape").agg(F.sum("n").alias("n"))
     totals = shapes.groupBy("field", "load").agg(F.sum("n").alias("known"))
     shares = shapes.join(totals, ["field", "load"]).withColumn("share", F.col("n") / F.col("known"))
-    common = shares.filter(F.col("share") >= 0.02).select("field", "shape").distinct()
+    usual = shares.filter(F.col("share") >= 0.02).select("field", "shape").distinct().withColumn("kept", F.col("shape"))
+    pooled = shares.join(usual, ["field", "shape"], "left").withColumn("shape", F.coalesce("kept", F.lit(RARE)))
+    shares = pooled.groupBy("field", "load", "shape").agg(F.sum("share").alias("share"))
+    common = shares.select("field", "shape").distinct()
     grid = totals.join(common, "field").join(shares.select("field", "load", "shape", "share"), ["field", "load", "shape"], "left")
     grid = grid.withColumn("share", F.coalesce(F.col("share"), F.lit(0.0)))
     middle = grid.groupBy("field", "shape").agg(F.expr("percentile(share, 0.5)").alias("usual"))

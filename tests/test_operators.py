@@ -68,6 +68,13 @@ def test_profile_range_and_broken_values(spark, tmp_path):
     assert [r["middle"] for r in loads] == [1.5, 2.0] and all(r["apart"] is not None for r in loads)
 
 
+def test_rare_notations_count_in_full(spark):
+    rows = [invoice(100 * load + i, load=load, number=f"FV/{i}") for load in (1, 2, 3) for i in range(100)]
+    rows += [invoice(400 + i, load=4, number=f"FV/{i}" if i < 60 else "-" * (i - 59)) for i in range(100)]
+    got = {r["load"]: r["apart"] for r in profile.notation_distance(profile.counts(spark.createDataFrame(rows, SCHEMA), profile.invoice_fields())).filter("field = 'header.invoice_number'").collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 0.0, 4: pytest.approx(0.4)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert profile.quality_cases(none).count() == 0
