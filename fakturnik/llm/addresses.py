@@ -7,7 +7,7 @@
   rare is replaced by a much commoner one at most two edits away, found by a symmetric-delete index.
 * Containment join: every distinct record is a set of parts. It is indexed by its rarest element (parts are
   combined with the house number, so that no element is common); fuller records probe with all of theirs;
-  a pair is verified by weighted containment and by the absence of contradictory parts. A record joins the
+  a pair is verified by exact containment: equal street name, house and flat, and no contradictory town or given name. A record joins the
   one place that contains it; a record that several places contain joins none.
 
 Defined cases: a record without street or without house number denotes no place; house letters ignore case;
