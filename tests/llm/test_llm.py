@@ -243,3 +243,40 @@ def test_held_out_abuse(spark):
     assert np.mean([(got[i] > 0.5) == (i % 4 == 0) for i in held]) >= 0.95
     assert got[98] == 0 and got[99] == 0 and got[97] > 0.5
     assert abuse.source_rates(docs, labels).agg(F.sum("documents")).first()[0] == 63
+
+
+UNSEEN_ABUSE = ["Mam nadzieję, że zgnijesz w piekle", "Rozwalę ci ten głupi łeb", "You filthy whore, get lost", "Ich breche dir alle Knochen, du Schwein", "Zobaczysz, połamię ci obie nogi", "Pokaż dupę, laska"]
+UNSEEN_HARMLESS = ["Towar dotarł uszkodzony, jestem bardzo niezadowolony", "The delivery was late again, this is unacceptable", "Leider ist die Ware beschädigt", "Suka labradora, szczepienie", "Piersi z kurczaka 2 kg", "Śmieci należy segregować", "Pana pies pogryzł kuriera"]
+
+
+def test_unseen_sentences_by_the_seeds():
+    ordinary = [*CLEAN, "Please confirm the delivery of the goods", "The invoice was paid on Friday", "Die Rechnung ist noch offen", "Wir bitten um Zahlung der Ware", "Towar odebrano, jestem zadowolony z obsługi", "Paczka dotarła bez uszkodzeń"]
+    model = abuse.train([(f"{x}. {y}.", 0.0) for x in ordinary for y in ordinary if x < y])
+    rate = lambda texts: model.score(model.rate([abuse.normal(t) for t in texts])) > 0.5
+    assert rate(UNSEEN_ABUSE).mean() >= 0.8 and rate(UNSEEN_HARMLESS).mean() <= 0.15
+
+
+def test_usual_sentences_of_positive_documents_stay_harmless():
+    """A sentence that every document may hold is no passage, though by chance only positive documents of the sample hold it."""
+    usual, r = "prosimy o zwrot podpisanego egzemplarza.", np.random.default_rng(3)
+    words = "oferta dostawa paleta protokół saldo kwartał magazyn termin rabat kurier umowa korekta".split()
+    plain = lambda: " ".join(r.choice(words, 6)) + ". "
+    bad = ["ty skończony idioto. ", "spierdalaj, gnoju. ", "zabiję cię, frajerze. "]
+    rows = [(plain() + plain() + (bad[i % 3] + usual * (i < 20) if i % 4 == 0 else ""), float(i % 4 == 0)) for i in range(120)]
+    model = abuse.train(sorted(rows), {usual: 0.1} | {abuse.normal(b).strip(): 0.02 for b in bad})
+    rate = lambda t: float(model.score(model.rate([abuse.normal(t)]))[0])
+    assert rate(usual) < 0.5 < rate("zabiję cię, gnoju")
+    right, found, positive = model.held_out
+    assert right == found == positive == 30
+
+
+def test_threshold_is_the_one_of_least_errors():
+    assert abuse.best_threshold([(0.9, True), (0.8, True), (0.7, False), (0.1, False)]) == (0.7, (2, 2, 2))
+    assert abuse.best_threshold([]) == (0.5, (0, 0, 0))
+
+
+def test_long_texts_are_scored_whole(spark):
+    docs = spark.createDataFrame([(1, "Prosimy o zapłatę. " * 3000 + "ty skurwysynu, zabiję cię", "s"), (2, "Prosimy o zapłatę. " * 3000, "s")], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([], "doc_id bigint, annotator string, abusive int")
+    got = {r["doc_id"]: r["score"] for r in abuse.scores(docs, labels).collect()}
+    assert got[1] > 0.5 > got[2]
