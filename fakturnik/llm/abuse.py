@@ -203,18 +203,24 @@ SPELLED = re.compile(r"(?<!\w)\w([ .\-_*])\w(?:\1\w){2,}(?!\w)")
 DISGUISED = re.compile(r"(?<!\S)[\"'(„]*(?=\S*[a-z]\S*[a-z])[a-z@0-9$*#](?:[a-z@0-9$!*#]+)[a-z@0-9$*#](?=[.,;:?!)\"'”]*(?!\S))")
 
 
+REPEATED, NUMBER = re.compile(r"([a-z])\1{2,}"), re.compile("[0-9]+")
+#: Where a disguised word can be.
+MASKED = re.compile(r"[a-z][@0-9$!*#]|[@0-9$!*#][a-z]")
+
+
 def normal(text: str) -> str:
     """Small letters without accents, spelled-out words joined, digits and signs inside words as letters, numbers as 9."""
-    s = SPEAKER.sub("", text).lower().translate(FOLD)
+    s = (SPEAKER.sub("", text) if "[" in text else text).lower().translate(FOLD)
     s = SPELLED.sub(lambda m: re.sub(r"[^\w]", "", m[0]) if not re.search(r"\d", m[0]) else m[0], s)
 
     def open_up(m: re.Match) -> str:
         w = m[0]
         return w.translate(LEET).replace("9", "*").replace("6", "*").replace("8", "*") if sum(c.isdigit() for c in w) <= 2 else w
 
-    s = DISGUISED.sub(open_up, s)
-    s = re.sub(r"([a-z])\1{2,}", r"\1", s)
-    return re.sub(r"[0-9]+", "9", s)
+    if MASKED.search(s):
+        s = DISGUISED.sub(open_up, s)
+    s = REPEATED.sub(r"\1", s)
+    return NUMBER.sub("9", s)
 
 
 def abusive_seeds() -> list[str]:
@@ -439,8 +445,6 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         rater, known = Model(*sent.value), {}  # sentence as it stands: its rating
 
         def rate(new: list[str]) -> None:
-            if len(known) > REMEMBERED:
-                known.clear()
             forms = [normal(x).strip() for x in new]
             there = [i for i, f in enumerate(forms) if len(LATIN.findall(f)) > 2]
             r = np.zeros(len(new))
@@ -448,24 +452,20 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
             known.update(zip(new, r.tolist(), strict=True))
 
         for pdf in batches:
-            out = np.zeros(len(pdf))
-            for i, text in enumerate(pdf["text"]):
-                waiting, size = [], 0
-                parts = dict.fromkeys(SENTENCE.split(text or ""))
+            if len(known) > REMEMBERED:
+                known.clear()
+            texts = [list(dict.fromkeys(SENTENCE.split(text or ""))) for text in pdf["text"]]
+            waiting, size = {}, 0
+            for parts in texts:
                 for s in parts:
-                    if s not in known:
-                        waiting.append(s)
+                    if s not in known and s not in waiting:
+                        waiting[s] = None
                         size += len(s)
-                    else:
-                        out[i] = max(out[i], known[s])
-                    if size > RATED:
-                        rate(waiting)
-                        out[i] = max(out[i], *(known[w] for w in waiting))
-                        waiting, size = [], 0
-                if waiting:
-                    rate(waiting)
-                    out[i] = max(out[i], *(known[w] for w in waiting))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.round(out, 6)})
+                if size > RATED:
+                    rate(list(waiting))
+                    waiting, size = {}, 0
+            rate(list(waiting))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.round([max((known[s] for s in parts), default=0.0) for parts in texts], 6)})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")
 
