@@ -8,11 +8,14 @@ its inverse; a word left as it was may also be foreign, with signs that are all
 
 * words of all records are counted (combined before the shuffle); the trigram table is folded from the
   counts over an alphabet of at most 49 classes, so it has at most 117,649 rows and is sent to the workers;
-* words with signs outside the plain alphabet get their inverse and log-likelihood ratio for each chain;
-* E step: chain posteriors per document (evidence of all its pages and its whole text is pooled, with
-  the chain prior of the pool of its fields), then the chance of each word in it to be garbled;
-* M step: chain priors per pool, and the garbling rate of each word over all documents, which clears
-  words that occur mostly in documents without further evidence (foreign names, symbols);
+* words with signs outside the plain alphabet get their inverse and log-likelihood ratio for each chain; a
+  word that stands in far more documents than its inverse is hardly its garbled form (most text is clean),
+  so the ratio falls by what the two counts say against it;
+* E step: chain posteriors per document (evidence of all its pages and its whole text is pooled, with the
+  chain prior of its pool), then the chance of each of its words to be garbled; one pass over one row per document;
+* M step: chain priors per pool (the kind of source of the document and the fields that hold it), and the
+  garbling rate of each word over all documents, which clears words that occur mostly in documents without
+  further evidence (foreign names, symbols);
 * a record is a case if one of its words is more likely garbled than not; each such word is replaced by
   the inverse that the posterior favours.
 
@@ -28,7 +31,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +71,10 @@ CHAINS = (
     ("maclatin2>cp1252", "mac_latin2", "cp1252", 1),
 )
 LOST = "lost"
+#: Signs of clean text that are no letters, and letters of other languages.
+NO_LETTER, LATIN = re.compile("[„”–—…°²±§\u00a0³‚‘’“«»€½¼]"), re.compile("[À-ÖØ-öø-ſ]")
+#: Share of the documents with a word or its garbled form in which it is garbled at most, before this speaks against it.
+MOST_GARBLED = 0.5
 #: Signs that stand in clean Polish text and need no explanation.
 PLAIN = r"\x00-\x7f" + POLISH + "„”–—…°²±§ "
 SPACE = " \t\n\r\f\x0b"
@@ -153,9 +162,10 @@ def foreign(word: str) -> float:
 
 
 def records(pages: DataFrame, contents: DataFrame) -> DataFrame:
-    """All texts as one table: field, doc_id, number (0 for the whole text), text."""
-    a = pages.select(F.lit("pdf_pages.text").alias("field"), F.col("doc_id").cast("bigint"), F.col("number").cast("int"), "text")
-    b = contents.select(F.lit("pdf_contents.text").alias("field"), F.col("doc_id").cast("bigint"), F.lit(0).alias("number"), "text")
+    """All texts as one table: field, doc_id, number (0 for the whole text), source (kind of file, where known), text."""
+    kind = F.col("pdf_type") if "pdf_type" in contents.columns else F.lit(None)
+    a = pages.select(F.lit("pdf_pages.text").alias("field"), F.col("doc_id").cast("bigint"), F.col("number").cast("int"), F.lit(None).cast("string").alias("source"), "text")
+    b = contents.select(F.lit("pdf_contents.text").alias("field"), F.col("doc_id").cast("bigint"), F.lit(0).alias("number"), kind.cast("string").alias("source"), "text")
     return a.unionByName(b)
 
 
@@ -175,7 +185,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def trigram_table(counts: DataFrame) -> dict[str, float]:
     """Trigram counts of the plain words; at most 49 cubed rows by its alphabet."""
-    plain = counts.filter(~_suspicious(F.col("word")) & (F.length("word") <= 60)).select(F.concat(F.lit("^^"), _fold(F.col("word")), F.lit("$")).alias("w"), "n")
+    plain = counts.filter(~_suspicious(F.col("word"))).select(F.concat(F.lit("^^"), _fold(F.col("word")), F.lit("$")).alias("w"), "n")
     grams = plain.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("g"), "n")
     return {r["g"]: float(r["n"]) for r in grams.groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
@@ -197,67 +207,126 @@ def inverses(counts: DataFrame, model: dict[str, float]) -> DataFrame:
                 base = max(lm.log(word), foreign(word))
                 for name, written, read, times in CHAINS:
                     fixed = undo(word, written, read, times)
-                    if fixed is not None and fixed != word and "?" not in _fold_here(re.sub("[„”–—…°²±§ ³]", "", fixed)):
+                    if fixed is None or fixed == word:
+                        continue
+                    if "?" not in _fold_here(NO_LETTER.sub("", fixed)):
                         out.append((word, n, name, fixed, base, lm.log(fixed)))
+                    elif written == "utf-8" and "?" not in _fold_here(NO_LETTER.sub("", LATIN.sub("e", fixed))):
+                        # Letters of other languages: only sequences of several bytes prove that they were there.
+                        out.append((word, n, name, fixed, base, max(lm.log(fixed), foreign(fixed))))
             yield pd.DataFrame(out, columns=["word", "n", "chain", "fixed", "base", "gain"])
 
     return counts.filter(_suspicious(F.col("word"))).mapInPandas(run, "word string, n bigint, chain string, fixed string, base double, gain double")
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """Suspicious words with their chains: (word, chain, fixed, llr); trigram model and word counts mixed half and half."""
+def evidence(rows: DataFrame, spread_of: DataFrame) -> DataFrame:
+    """Suspicious words with their chains: (word, chain, fixed, llr).
+
+    The likelihood of an inverse mixes trigram model and word counts half and half. ``spread_of`` gives the
+    number of documents of each suspicious word: if it is garbled in d of d + m documents, m being the
+    occurrences of the inverse, and that is more than MOST_GARBLED of them, the divergence of the two shares
+    times d + m is taken off.
+    """
     counts = cut(word_counts(rows), "words")
     model = trigram_table(counts)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    found = inverses(counts, model)
-    known = counts.filter(~_suspicious(F.col("word"))).select(F.col("word").alias("fixed"), F.col("n").alias("seen"))
-    mixed = found.join(known, "fixed", "left")
+    found = inverses(counts, model).join(spread_of, "word")
+    mixed = found.join(counts.select(F.col("word").alias("fixed"), F.col("n").alias("seen")), "fixed", "left")
     log_total = F.lit(float(math.log(total)))
     as_word = F.when(F.col("seen").isNotNull(), F.log(F.col("seen").cast("double")) - log_total - 0.7)
-    return mixed.select("word", "chain", "fixed", (F.greatest(F.col("gain"), F.coalesce(as_word, F.lit(-1e9))) - F.col("base")).alias("llr")).filter("llr > 0")
+    d, m = F.col("docs").cast("double"), F.coalesce(F.col("seen"), F.lit(0)).cast("double")
+    q = d / (d + m)
+    apart = d * F.log(q / MOST_GARBLED) + F.when(m > 0, m * F.log((1 - q) / (1 - MOST_GARBLED))).otherwise(0.0)
+    against = F.when((q > MOST_GARBLED) & (F.col("chain") != LOST), apart).otherwise(0.0)
+    llr = F.greatest(F.col("gain"), F.coalesce(as_word, F.lit(-1e9))) - F.col("base") - against
+    return mixed.select("word", "chain", "fixed", llr.alias("llr")).filter("llr > 0")
+
+
+NAMES = [c[0] for c in CHAINS] + [LOST]
+
+
+def _e_step(shares: dict[str, list[float]], otherwise: float):
+    """One pass over documents (doc_id, pool, items of word, chain, fixed, llr, rate).
+
+    Gives per document the posterior of each chain, and per word the chance to be garbled with the likeliest chain and inverse.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, k = batch.num_rows, len(NAMES)
+            items = batch.column("items")
+            flat, sizes = items.flatten(), np.diff(np.asarray(items.offsets))
+            row = np.repeat(np.arange(n), sizes)
+            codes = flat.field("chain").dictionary_encode()
+            chain = np.array([NAMES.index(c) for c in codes.dictionary.to_pylist()], dtype=np.int64)[np.asarray(codes.indices)] if len(row) else np.zeros(0, dtype=np.int64)
+            llr, rate = np.asarray(flat.field("llr")), np.asarray(flat.field("rate"))
+            lift = np.exp(np.minimum(llr, 60.0))
+            mixture = 1 - rate + rate * lift
+            # Evidence of a document for a chain: the sum over its words of the log of the mixture.
+            gain = np.bincount(row * k + chain, weights=np.log(mixture), minlength=n * k).reshape(n, k)
+            there = np.bincount(row * k + chain, minlength=n * k).reshape(n, k) > 0
+            share = np.array([shares.get(p, [otherwise] * k) for p in batch.column("pool").to_pylist()]).reshape(n, k)
+            score = np.where(there, gain + np.log(share), -np.inf)
+            top = np.maximum(score.max(axis=1, initial=0.0), 0.0)
+            e = np.exp(score - top[:, None])
+            pz = e / (e.sum(axis=1) + np.exp(-top))[:, None]
+            p = pz[row, chain] * rate * lift / mixture
+            # One entry per document and word: the sum over its chains, and the likeliest of them.
+            words = flat.field("word").dictionary_encode()
+            key = row * max(1, len(words.dictionary)) + np.asarray(words.indices) if len(row) else row
+            order = np.lexsort((-chain, -p, key))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = key[order][1:] != key[order][:-1]
+            starts = np.flatnonzero(first)
+            total = np.minimum(1.0, np.add.reduceat(p[order], starts)) if len(order) else p
+            best = pa.array(order[starts])
+            said = pa.StructArray.from_arrays([flat.field("word").take(best), flat.field("chain").take(best), flat.field("fixed").take(best), pa.array(total)], names=["word", "chain", "fixed", "p"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[order[starts]], minlength=n))]).astype(np.int32)
+            seen = [np.flatnonzero(t) for t in there]
+            at = np.concatenate([[0], np.cumsum([len(c) for c in seen])]).astype(np.int32)
+            flat_seen = np.concatenate(seen) if n else np.zeros(0, dtype=np.int64)
+            chains = pa.StructArray.from_arrays([pa.array([NAMES[c] for c in flat_seen], pa.string()), pa.array(pz[np.repeat(np.arange(n), np.diff(at)), flat_seen])], names=["chain", "pz"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("pool"), pa.ListArray.from_arrays(pa.array(at), chains), pa.ListArray.from_arrays(pa.array(ends), said)], names=["doc_id", "pool", "chains", "words"]
+            )
+
+    return run
+
+
+JUDGED = "doc_id bigint, pool string, chains array<struct<chain:string,pz:double>>, words array<struct<word:string,chain:string,fixed:string,p:double>>"
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
     """(field, doc_id, number, word, chain, fixed, p): the chance that a word of a record is garbled, and its best inverse."""
-    tokens = cut(evidence(rows), "inverses")
-    said = (
-        rows.filter(F.col("text").isNotNull() & _suspicious(F.col("text")))
-        .select("field", "doc_id", "number", F.explode(F.array_distinct(F.filter(_words(F.col("text")), _suspicious))).alias("word"))
-        .distinct()
+    said = rows.filter(F.col("text").isNotNull() & _suspicious(F.col("text"))).select(
+        "field", "doc_id", "number", F.explode(F.array_distinct(F.filter(_words(F.col("text")), _suspicious))).alias("word")
     )
-    said = cut(said.join(tokens, "word"), "occurrences")  # (field, doc_id, number, word, chain, fixed, llr)
-    per_word = said.select("field", "doc_id", "word", "chain", "llr").distinct()
-    rates = prior = None
+    said = cut(said, "occurrences")
+    in_doc = said.select("doc_id", "word").distinct()
+    tokens = evidence(rows, in_doc.groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
+    every = rows.groupBy("doc_id").agg(F.concat_ws("|", F.coalesce(F.max("source"), F.lit("")), F.sort_array(F.collect_set("field"))).alias("pool"))
+    every = cut(every, "pools")
+    # (doc_id, pool, word, chain, fixed, llr): the documents with evidence, a small part of all.
+    heard = cut(in_doc.join(tokens, "word").join(every, "doc_id"), "evidence")
+    # Pools are few (kinds of file times sets of fields); their chain shares go to the workers.
+    docs_of = {r["pool"]: r["n"] for r in every.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares: dict[str, list[float]] = {}
+    rates = judged = None
     for at in range(ROUNDS + 1):
-        odds = F.lit(PRIOR_WORD) if rates is None else F.coalesce(F.col("rate"), F.lit(PRIOR_WORD))
-        w = (per_word if rates is None else per_word.join(rates, "word", "left")).withColumn("rate", odds)
-        # Evidence of a document for a chain: the sum over its words of the log of the mixture.
-        gain = F.log(1 - F.col("rate") + F.col("rate") * F.exp(F.least(F.col("llr"), F.lit(60.0))))
-        by_doc = w.groupBy("doc_id", "chain").agg(F.sum(gain).alias("gain"), F.min("field").alias("pool"))
-        share = F.lit(PRIOR_GARBLED / len(CHAINS)) if prior is None else F.coalesce(F.col("share"), F.lit(1e-5))
-        by_doc = (by_doc if prior is None else by_doc.join(F.broadcast(prior), ["pool", "chain"], "left")).withColumn("score", F.col("gain") + F.log(share))
-        top = by_doc.groupBy("doc_id").agg(F.max("score").alias("top"))
-        by_doc = by_doc.join(top, "doc_id")
-        most = F.greatest(F.col("top"), F.lit(0.0))
-        norm = by_doc.groupBy("doc_id").agg((F.sum(F.exp(F.col("score") - most)) + F.first(F.exp(-most))).alias("norm"))
-        chains = by_doc.join(norm, "doc_id").select("doc_id", "pool", "chain", (F.exp(F.col("score") - most) / F.col("norm")).alias("pz"))
-        chains = cut(chains, f"chains-{at}")
+        rate = F.lit(PRIOR_WORD) if rates is None else F.coalesce(F.col("rate"), F.lit(PRIOR_WORD))
+        w = heard if rates is None else heard.join(rates, "word", "left")
+        by_doc = w.groupBy("doc_id", "pool").agg(F.collect_list(F.struct("word", "chain", "fixed", "llr", rate.alias("rate"))).alias("items"))
+        judged = cut(by_doc.mapInArrow(_e_step(shares, PRIOR_GARBLED / len(CHAINS) if at == 0 else 1e-5), JUDGED), f"judged-{at}")
         if at == ROUNDS:
             break
         # M step. Documents without suspicious words count as clean through the total of their pool.
-        totals = rows.groupBy(F.col("field").alias("pool")).agg(F.countDistinct("doc_id").alias("docs"))
-        prior = chains.groupBy("pool", "chain").agg(F.sum("pz").alias("z")).join(totals, "pool").select("pool", "chain", F.greatest(F.lit(1e-6), F.least(F.lit(0.2), F.col("z") / F.col("docs"))).alias("share"))
-        prior = cut(prior, f"prior-{at}")  # one row per pool and chain: at most 2 x 27
-        lift = F.exp(F.least(F.col("llr"), F.lit(60.0)))
-        garbled = w.join(chains, ["doc_id", "chain"]).withColumn("p", F.col("pz") * F.col("rate") * lift / (1 - F.col("rate") + F.col("rate") * lift))
-        seen = garbled.groupBy("word", "doc_id").agg(F.least(F.lit(1.0), F.sum("p")).alias("p"))
-        rates = cut(seen.groupBy("word").agg(F.least(F.lit(0.98), F.greatest(F.lit(1e-4), (F.sum("p") + 0.3) / (F.count(F.lit(1)) + 1.0))).alias("rate")), f"rates-{at}")
-    lift = F.exp(F.least(F.col("llr"), F.lit(60.0)))
-    last = said.join(rates, "word", "left").withColumn("rate", F.coalesce(F.col("rate"), F.lit(PRIOR_WORD))).join(chains.drop("pool"), ["doc_id", "chain"])
-    last = last.withColumn("p", F.col("pz") * F.col("rate") * lift / (1 - F.col("rate") + F.col("rate") * lift))
-    return last.groupBy("field", "doc_id", "number", "word").agg(
-        F.least(F.lit(1.0), F.sum("p")).alias("p"), F.max_by("chain", F.struct("p", "chain")).alias("chain"), F.max_by("fixed", F.struct("p", "chain")).alias("fixed")
-    )
+        z = judged.select("pool", F.explode("chains").alias("c")).groupBy("pool", "c.chain").agg(F.sum("c.pz").alias("z")).collect()
+        shares = {p: [1e-5] * len(NAMES) for p in docs_of}
+        for r in z:
+            shares[r["pool"]][NAMES.index(r["chain"])] = max(1e-6, min(0.2, r["z"] / docs_of[r["pool"]]))
+        rates = judged.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.least(F.lit(0.98), F.greatest(F.lit(1e-4), (F.sum("w.p") + 0.3) / (F.count(F.lit(1)) + 1.0))).alias("rate"))
+    sure = judged.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.*")
+    return said.join(sure, ["doc_id", "word"]).select("field", "doc_id", "number", "word", "chain", "fixed", "p").distinct()
 
 
 def garbled_words(pages: DataFrame, contents: DataFrame) -> DataFrame:
@@ -278,7 +347,7 @@ def restore(pages: DataFrame, contents: DataFrame) -> DataFrame:
         F.mode("chain").alias("chain"),
         F.min((F.col("chain") != LOST).cast("int")).cast("boolean").alias("restorable"),
     )
-    cases = rows.dropDuplicates(["field", "doc_id", "number"]).join(by_record, ["field", "doc_id", "number"])
+    cases = rows.join(by_record, ["field", "doc_id", "number"]).dropDuplicates(["field", "doc_id", "number"])  # only the texts of cases are moved
     schema = "field string, doc_id bigint, number int, chain string, text string, restorable boolean"
     cutter = re.compile(f"([{SPACE}]+)")
 

@@ -44,6 +44,33 @@ def test_garbled_pages(spark):
     assert not fixed[start + 2]["restorable"] and fixed[start]["restorable"]
 
 
+def test_frequent_foreign_words_recruit_no_chain(spark):
+    """A foreign word whose supposed inverse nobody writes stays, however many documents hold it and nothing else."""
+    fine = ["Odbiorca Škoda Polska", "Odbiorca Müller & Söhne"] * 40
+    df = pages(spark, CLEAN * 10 + fine + [CLEAN[0].encode().decode("cp1250", "replace")])
+    none = spark.createDataFrame([], "doc_id bigint, text string, pdf_type string")
+    got = {r["doc_id"] for r in mojibake.found(df, none).collect()}
+    assert got == {100 + 10 * len(CLEAN) + len(fine)}
+
+
+def test_garbled_letters_of_other_languages(spark):
+    clean = ["Rechnung an Müller über größere Mengen", "élève à la française"]
+    df = pages(spark, CLEAN * 4 + clean * 4 + [t.encode().decode("cp1252") for t in clean])
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    start = 100 + 4 * len(CLEAN) + 8
+    fixed = {r["doc_id"]: r["text"] for r in mojibake.restore(df, none).collect()}
+    assert fixed == {start: clean[0], start + 1: clean[1]}
+
+
+def test_long_garbled_words_and_content_of_garbled_pages(spark):
+    word = "niezwłoczneuzupełnienie" * 5
+    garbled = word.encode().decode("cp1252")
+    df = pages(spark, CLEAN * 4 + [garbled])
+    own = 100 + 4 * len(CLEAN)
+    contents = spark.createDataFrame([(100, CLEAN[0], "Text"), (own, f"dalej {garbled}\n\n{CLEAN[1]}", "Hybrid"), (None, None, None)], "doc_id bigint, text string, pdf_type string")
+    assert {(r["doc_id"], r["number"]) for r in mojibake.found(df, contents).collect()} == {(own, 1), (own, 0)}
+
+
 def test_garbled_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, number int, text string")
     assert mojibake.found(none, none).count() == 0
