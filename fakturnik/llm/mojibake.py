@@ -75,8 +75,8 @@ LOST = "lost"
 NO_LETTER, LATIN = re.compile("[„”–—…°²±§\u00a0³‚‘’“«»€½¼]"), re.compile("[À-ÖØ-öø-ſ]")
 #: Share of the documents with a word or its garbled form in which it is garbled at most, before this speaks against it.
 MOST_GARBLED = 0.5
-#: Signs that stand in clean Polish text and need no explanation.
-PLAIN = r"\x00-\x7f" + POLISH + "„”–—…°²±§ "
+#: Signs beyond ASCII that stand in clean Polish text and need no explanation.
+PLAIN = POLISH + "„”–—…°²±§ "
 SPACE = " \t\n\r\f\x0b"
 ROUNDS = 3
 #: Log of the share of words that are foreign or symbols and right as they are.
@@ -173,8 +173,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
+#: A sign beyond ASCII that is not plain, or a capital of Polish behind a small letter. The first test fails at once for ASCII.
+ODD = rf"[^\x00-\x7f](?:(?<![{PLAIN}])|(?<=[a-z{POLISH[:9]}][{POLISH[9:]}]))"
+
+
 def _suspicious(word: Column) -> Column:
-    return word.rlike(f"[^{PLAIN}]") | word.rlike(f"[a-z{POLISH[:9]}][{POLISH[9:]}]")
+    return word.rlike(ODD)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
