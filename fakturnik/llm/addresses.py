@@ -5,10 +5,12 @@
 * Canonical parts: towns are matched to the towns of the postal-code table (a fixed reference table whose
   size is checked before it goes to the workers), else taken from the postal code; a street name that is
   rare is replaced by a much commoner one at most two edits away, found by a symmetric-delete index.
-* Containment join: every distinct record is a set of parts. It is indexed by its rarest element (parts are
-  combined with the house number, so that no element is common); fuller records probe with all of theirs;
-  a pair is verified by exact containment: equal street name, house and flat, and no contradictory town or given name. A record joins the
-  one place that contains it; a record that several places contain joins none.
+* Containment join: every distinct record is a set of elements (its street, and its town, given name and both
+  with the street; each beside house and flat, so that no element is common). It is indexed by its rarest
+  element; fuller records probe with all of theirs; a pair is verified by weighted containment (elements weigh
+  by their rarity, CONTAINED of the lesser record's weight must be met) and by the absence of contradictions:
+  another house, flat, town or given name, or, where a record names no town, postal codes of other districts.
+  A record joins the one place that contains it; a record that several places contain joins none.
 
 Defined cases: a record without street or without house number denotes no place; house letters ignore case;
 no flat and a flat differ; an unknown town (neither named nor by postal code) joins only if one place fits;
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .names import FOLD, deletions, distance, pairs
 
-#: Most rows of the postal-code reference that are sent to the workers; beyond it towns stay as typed.
+#: Most rows of the postal-code reference, which is sent to the workers; a larger table is refused.
 REFERENCE_ROWS = 200_000
 
 POSTAL = re.compile(r"(?<!\d)(\d{2}) ?[-–] ?(\d{3})(?!\d)|(?<![\d/])(\d{5})(?!\d)")
@@ -123,8 +125,9 @@ def parse(street: str | None, postal: str | None, city: str | None, raw: str | N
 def parsed(addresses: DataFrame, postal_codes: DataFrame) -> DataFrame:
     """Distinct records with their parts."""
     reference = postal_codes.select("postal_code", "city").distinct()
-    bounded = reference.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS
-    rows = [(r[0], r[1]) for r in reference.collect()] if bounded else []
+    rows = [(r[0], r[1]) for r in reference.limit(REFERENCE_ROWS + 1).collect()]
+    if len(rows) > REFERENCE_ROWS:
+        raise ValueError(f"the table of postal codes has over {REFERENCE_ROWS} rows")
     keys = ["street", "postal_code", "city", "raw"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +145,7 @@ def street_names(records: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(c, n, d) for c, n in zip(pdf["core"], pdf["n"], strict=True) if len(c) <= 40 for d in deletions(c)], columns=["core", "n", "part"])
+            yield pd.DataFrame([(c, n, d) for c, n in zip(pdf["core"], pdf["n"], strict=True) for d in deletions(c)], columns=["core", "n", "part"])
 
     index = cut(counts.mapInPandas(emit, "core string, n bigint, part string"), "street-deletes")
     a, b = index.alias("a"), index.alias("b")
@@ -158,7 +161,11 @@ def street_names(records: DataFrame) -> DataFrame:
     return near.groupBy("core").agg(F.min_by("name", F.struct("d", -F.col("m"), "name")).alias("name"))
 
 
-PLACE = ["town", "street_name", "given", "house", "flat"]
+#: Share of the weight of a record's elements that a fuller record must have.
+CONTAINED = 0.999
+
+#: area is the postal district of a record without town, else empty.
+PLACE = ["town", "street_name", "given", "house", "flat", "area"]
 
 
 def places(addresses: DataFrame, postal_codes: DataFrame) -> DataFrame:
@@ -168,8 +175,10 @@ def places(addresses: DataFrame, postal_codes: DataFrame) -> DataFrame:
     records = cut(parsed(rows, postal_codes), "addresses")
     better = street_names(records)
     named = records.join(better, "core", "left").withColumn("street_name", F.coalesce("name", "core")).filter("core <> '' AND house <> ''")
+    named = named.withColumn("area", F.when(F.col("town") == "", F.coalesce(F.substring("postal", 1, 2), F.lit(""))).otherwise(F.lit("")))
     named = cut(named.select(*keys, *PLACE, "postal"), "named")
-    sets = cut(named.select(*PLACE).distinct().withColumn("set_id", F.xxhash64(*PLACE)), "sets")
+    areas = F.array_sort(F.collect_set(F.substring("postal", 1, 2))).alias("areas")  # at most a hundred
+    sets = cut(named.groupBy(*PLACE).agg(areas).withColumn("set_id", F.xxhash64(*PLACE)), "sets")
     merged = contained(sets)
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
     by_row = rows.alias("r").join(named.alias("n"), on).select("r.addr_id", *[f"n.{c}" for c in PLACE])
@@ -190,27 +199,35 @@ def contained(sets: DataFrame) -> DataFrame:
         )
     )
     full = sets.withColumn("elements", elements)
-    exploded = cut(full.select("set_id", F.size("elements").alias("parts"), F.explode("elements").alias("element")), "elements")
+    exploded = cut(full.select("set_id", F.explode("elements").alias("element")), "elements")
     often = exploded.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
-    weighed = exploded.join(often, "element")
-    rarest = weighed.groupBy("set_id").agg(F.min_by("element", F.struct("df", F.length("element") * -1, "element")).alias("element"), F.first("parts").alias("parts"))
-    lesser = full.filter(~(have["t"] & have["g"])).select("set_id", *PLACE)  # sets that another can contain
-    index = rarest.join(lesser, "set_id").select("element", F.col("set_id").alias("small"), F.col("parts").alias("small_parts"), *[F.col(c).alias(f"s_{c}") for c in PLACE])
-    probe = exploded.join(sets, "set_id").select("element", F.col("set_id").alias("large"), F.col("parts").alias("large_parts"), *PLACE)
-    hits = probe.join(index, "element").filter("large_parts > small_parts")
-    agrees = (F.col("s_street_name") == F.col("street_name")) & (F.col("s_house") == F.col("house")) & (F.col("s_flat") == F.col("flat"))
+    total = F.lit(float(max(1, sets.count())))
+    # The elements of a set (at most four) with their weights, the rarest first.
+    item = F.struct("df", (-F.length("element")).alias("long"), "element", F.log(1 + total / F.col("df")).alias("weight"))
+    weighed = exploded.join(often, "element").groupBy("set_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    weighed = cut(sets.join(weighed, "set_id"), "weighed")
+    lesser = weighed.filter("town = '' OR given = ''")  # sets that another can contain
+    index = lesser.select(F.col("items")[0].element.alias("element"), F.col("set_id").alias("small"), F.col("items").alias("s_items"), *[F.col(c).alias(f"s_{c}") for c in [*PLACE, "areas"]])
+    probe = weighed.select(F.explode("items.element").alias("element"), F.col("set_id").alias("large"), "items", *PLACE, "areas")
+    hits = probe.join(index, "element").filter(F.size("items") > F.size("s_items"))
+    weight = lambda items: F.aggregate(items, F.lit(0.0), lambda w, x: w + x.weight)
+    there = F.filter("s_items", lambda x: F.array_contains(F.col("items.element"), x.element))
+    agrees = weight(there) >= CONTAINED * weight(F.col("s_items"))
+    for c in ("street_name", "house", "flat"):
+        agrees = agrees & (F.col(f"s_{c}") == F.col(c))
     for c in ("town", "given"):
         agrees = agrees & ((F.col(f"s_{c}") == "") | (F.col(c) == F.col(f"s_{c}")))
-    containing = hits.filter(agrees).select("small", "large", "large_parts", "town", "given").distinct()
+    elsewhere = (F.col("s_town") == "") & (F.size("s_areas") > 0) & (F.size("areas") > 0) & ~F.arrays_overlap("s_areas", "areas")
+    containing = hits.filter(agrees & ~elsewhere).select("small", "large", "town", "given").distinct()
     # Towns first: among the containers, one town must remain, and inside it one given name or none.
     options = containing.groupBy("small").agg(
         F.collect_set(F.nullif("town", F.lit(""))).alias("towns"), F.collect_set(F.nullif("given", F.lit(""))).alias("givens")
     )
     joined = sets.join(options.withColumnRenamed("small", "set_id"), "set_id", "left")
     only = lambda own, others: F.when(F.col(own) != "", F.col(own)).when(F.size(others) == 1, F.element_at(others, 1)).otherwise(F.col(own))
-    return joined.select(
-        *PLACE, F.concat_ws("|", only("town", F.coalesce("towns", F.array())), "street_name", only("given", F.coalesce("givens", F.array())), "house", "flat").alias("place")
-    )
+    town = only("town", F.coalesce("towns", F.array()))
+    parts = [town, F.col("street_name"), only("given", F.coalesce("givens", F.array())), F.col("house"), F.col("flat"), F.when(town == "", F.col("area")).otherwise(F.lit(""))]
+    return joined.select(*PLACE, F.concat_ws("|", *parts).alias("place"))
 
 
 def found(addresses: DataFrame, postal_codes: DataFrame) -> DataFrame:

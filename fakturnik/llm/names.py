@@ -1,14 +1,18 @@
 """Variant spellings of the names of organisations and people, linked to entities.
 
-* Parsing: a name is folded (letter case, accents, quotes) and its tokens are aligned to roles by optimal
-  assignment: kind of business, line of business, legal form, title, first name (also as nickname or
-  initial) and core (the made-up part or the surname, which may have been typed in two pieces). A token
-  may be the role's word, an abbreviation of it, or a misspelling of it; the assignment with the least
-  cost wins, and what no role takes is the core.
-* Symmetric-delete index: every distinct core emits the strings left when up to two signs are deleted;
-  cores that meet in one are compared (one edit or exchange of neighbours, or two edits in a long core
-  that occurs once; what else is known of the two must not disagree). Components of the links get the
-  smallest core as their root, by labels that travel along the links, without pairs inside a group.
+* Parsing: a name is folded (letter case, accents, quotes) and its parts are told by patterns and word
+  lists: kind of business, line of business, legal form, title, first name (also as nickname or initial);
+  an abbreviation or a misspelling of a role's word counts as the word. What no role takes is the core (the
+  made-up part or the surname), which may be one token or several, in any order, or a word typed in pieces.
+* Symmetric-delete index on tokens: every distinct core emits, for each of its tokens, the strings left when
+  up to two signs of it are deleted, beside its other tokens in sorted order; and the same for all tokens
+  written as one word. No key is common, since the other tokens stand in it. Tokens of over LONG signs emit
+  the pieces of which one must be intact instead.
+* Verification: two cores that meet are compared by the cheapest assignment of the tokens of one to those of
+  the other (short forms, initials and edits have a cost). Tokens in another order link; one edit or
+  exchange of neighbours links if the one spelling is rare beside the other; two edits link a long core that
+  is much rarer; what else is known of the two must not disagree. Components of the links get the smallest
+  core as their root, by labels that travel along the links, without pairs inside a group.
 * Resolution inside a root: people by first name, an initial or nickname joins the only first name it can
   stand for; firms by line of business, a name without it joins the only firm it agrees with (kind, form,
   tax number and town decide where several share the core).
@@ -65,9 +69,14 @@ FIRST = {
     "tadeusz": "tadek", "urszula": "ula ulka", "wojciech": "wojtek wojtus", "zofia": "zosia", "krzysztof": "krzysiek", "andrzej": "andrzejek", "tomasz": "tomek",
     "barbara": "basia", "magdalena": "magda", "zbigniew": "zbyszek", "ryszard": "rysiek",
 }
+#: Further first names (folded), known only in full.
+OTHER_FIRST = """adam adrian alicja aleksander aleksandra andrzej aneta anna antoni arkadiusz artur barbara beata bogdan bozena daniel danuta dariusz dominik edward emilia ewa ewelina filip gabriela halina hanna helena
+    irena izabela jacek jadwiga jakub jan janina janusz jaroslaw jerzy jozef jolanta julia justyna kamil karol karolina kinga klaudia konrad krystyna krzysztof leszek magdalena maciej marcin marek maria marian mariusz
+    marta mateusz michal miroslaw monika norbert patryk paulina piotr przemyslaw rafal renata roman ryszard sebastian slawomir sylwia szymon teresa tomasz wanda weronika wieslaw witold wladyslaw zbigniew zdzislaw zygmunt""".split()
 TITLES = {"mgr", "inz", "pan", "pani", "dr", "prof"}
 #: What stands for a missing name.
 NOBODY = {"", "brak", "nd", "n d", "nie dotyczy", "none", "null", "nn", "x", "xx", "xxx", "test", "brak danych", "nieznany", "bd", "b d", "anonim", "do uzupelnienia"}
+COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 SURNAME = re.compile(r"(?:sk|ck|dzk)[iae]$|(?:czak|wicz|niak|czyk)$")
 
 NAME_OF = {short: name for name, shorts in FIRST.items() for short in [name, *shorts.split()]}
@@ -102,7 +111,8 @@ _KIND_WORDS = sorted(((re.compile(rf"\b{p}\b"), k) for k, shorts in KINDS.items(
 _FORM_WORDS = [(f, re.compile(p)) for f, p in FORMS]
 _KNOWN = tuple(sorted({w for k in KINDS for w in k.split() if len(w) > 4} | {"spolka", "ograniczona", "odpowiedzialnoscia", "akcyjna", "jawna", "komandytowa", "cywilna"}))
 _FIRSTS = tuple(sorted(NAME_OF))
-EMPTY = ("nobody", None, None, None, None, None)
+NAME_OF |= {name: name for name in OTHER_FIRST if name not in NAME_OF}
+EMPTY = ("nobody", None, None, None, None, None, None)
 
 
 def line_of(token: str) -> str | None:
@@ -116,10 +126,11 @@ def line_of(token: str) -> str | None:
 
 
 def parse(name: str | None) -> tuple:
-    """(what, core, kind, line, form, first) of a name; what is 'firm', 'person' or 'nobody', an initial is a first of one letter."""
+    """(what, core, kind, line, form, first, words) of a name; what is 'firm', 'person' or 'nobody', an initial is a first of one letter, words are the tokens of the core."""
     text = (name or "").lower().translate(FOLD)
     text = re.sub(r"[\"'„”“’`«»]", "", text)
     hyphen = re.search(r"\w-\w", text)
+    compound = {t for m in COMPOUND.finditer(text) for t in m[0].split("-")}
     flat = re.sub(r"[^a-z0-9]+", " ", text).strip()
     if flat in NOBODY or not re.search("[a-z]", flat):
         return EMPTY
@@ -135,7 +146,8 @@ def parse(name: str | None) -> tuple:
     tokens = [t for t in flat.split() if t not in TITLES]
     rest = []
     for t in tokens:
-        found = line_of(t) if line is None and len(tokens) > 1 else None
+        # Half of a word with a hyphen is no abbreviation of a line of business.
+        found = line_of(t) if line is None and len(tokens) > 1 and (t in LINES or t not in compound) else None
         if found:
             line = found
         else:
@@ -173,7 +185,7 @@ def parse(name: str | None) -> tuple:
                     first = NAME_OF[c]
                     rest.pop(at)
         if first and form is None and kind is None and line is None:
-            return ("person", "".join(rest), None, None, None, first)
+            return ("person", "".join(rest), None, None, None, first, " ".join(rest))
         if first:
             rest.append(first) if len(first) > 1 else None
     if len(rest) > 1 and not hyphen:  # letters of an unknown abbreviation beside a long core
@@ -181,24 +193,26 @@ def parse(name: str | None) -> tuple:
         if longer and sum(map(len, longer)) >= 6:
             rest = longer
     core = "".join(rest)
-    return ("firm", core, kind, line, form, None) if len(core) > 1 else EMPTY
+    return ("firm", core, kind, line, form, None, " ".join(rest)) if len(core) > 1 else EMPTY
 
 
 def parsed(parties: DataFrame) -> DataFrame:
-    """Distinct names with their parts: name, what, core, kind, line, form, first."""
+    """Distinct names with their parts: name, what, core, kind, line, form, first, words."""
     names = parties.select("name").filter(F.col("name").isNotNull()).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pd.DataFrame([parse(n) for n in pdf["name"]], columns=["what", "core", "kind", "line", "form", "first"])
+            out = pd.DataFrame([parse(n) for n in pdf["name"]], columns=["what", "core", "kind", "line", "form", "first", "words"])
             out.insert(0, "name", pdf["name"].to_numpy())
             yield out[out["what"] != "nobody"]
 
-    return names.mapInPandas(run, "name string, what string, core string, kind string, line string, form string, first string")
+    return names.mapInPandas(run, "name string, what string, core string, kind string, line string, form string, first string, words string")
 
 
 #: Cost of aligning a token with its short form, with an initial, and per edit; more than LIMIT in all is no match.
 SHORT, INITIAL, EDIT, LIMIT = 0.1, 0.2, 0.3, 0.9
+#: How many times oftener a core is than the spellings of two edits that several typed alike.
+RARER = 8
 
 
 def token_cost(a: str, b: str) -> float:
@@ -237,34 +251,89 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return min(best.values(), default=0.0)
 
 
+#: Signs of a token from which pieces take the place of deletions, whose number grows with the square of its length.
+LONG = 40
+
+
 def deletions(word: str) -> set[str]:
-    """The word without up to two of its signs (one in a short word)."""
+    """Keys of which words within two edits share one: the word without up to two of its signs (one in a short word).
+
+    Words of over LONG signs have the pieces that two edits leave intact instead; those about that long have both.
+    """
     n = len(word)
-    most = 2 if n >= 8 else 1 if n >= 4 else 0
-    return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(most + 1) for gone in combinations(range(n), k)}
+    keys: set[str] = set()
+    if n <= LONG + 2:
+        most = 2 if n >= 8 else 1 if n >= 4 else 0
+        keys = {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(most + 1) for gone in combinations(range(n), k)}
+    if n > LONG - 2:
+        keys |= pieces(word)
+    return keys
+
+
+def pieces(word: str, parts: int = 5, most: int = 2) -> set[str]:
+    """The fifths of a word, and what may be a fifth of a word that is at most two edits away, each with its number and the word's length.
+
+    Two edits, an exchange at a border among them, touch at most four of five pieces, and shift the fifth by at most two.
+    """
+    out = set()
+    for size in range(len(word) - most, len(word) + most + 1):
+        bounds = [size * k // parts for k in range(parts + 1)]
+        for k in range(parts):
+            for shift in range(-most, most + 1):
+                at = bounds[k] + shift
+                if at >= 0 and at + bounds[k + 1] - bounds[k] <= len(word):
+                    out.add(f"{size}/{k}/{word[at : at + bounds[k + 1] - bounds[k]]}")
+    return out
+
+
+def keys_of(words: str) -> set[str]:
+    """The index keys of the tokens of a core: each token's deletions beside the other tokens."""
+    tokens = words.split(" ")
+    return {" ".join([*sorted(tokens[:i] + tokens[i + 1 :]), "|" + d]) for i, t in enumerate(tokens) for d in deletions(t)}
+
+
+def tokens_apart(a: str, b: str) -> int:
+    """Edits between the tokens of two cores under their cheapest assignment; 3 if they do not match."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y):
+        return distance(a.replace(" ", ""), b.replace(" ", ""))
+    best = {0: 0}
+    for t in x:
+        step: dict[int, int] = {}
+        for used, d in best.items():
+            for j, u in enumerate(y):
+                if not used >> j & 1 and (new := d + distance(t, u)) < step.get(used | 1 << j, 3):
+                    step[used | 1 << j] = new
+        best = step
+    return min(best.values(), default=3)
 
 
 FACTS = ["kind", "line", "form", "first", "city"]
 
 
 def core_roots(cores: DataFrame) -> DataFrame:
-    """(what, core, root) from (what, core, n and the sets of FACTS): misspelt cores point to the core they most likely stand for."""
+    """(what, core, root) from (what, core, n, words and the sets of FACTS): misspelt cores point to the core they most likely stand for."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, c, n, d) for w, c, n in zip(pdf["what"], pdf["core"], pdf["n"], strict=True) if len(c) <= 40 for d in deletions(c)]
-            yield pd.DataFrame(rows, columns=["what", "core", "n", "part"])
-
-    index = cut(cores.select("what", "core", "n").mapInPandas(emit, "what string, core string, n bigint, part string"), "deletes")
+            rows = []
+            for w, c, n, forms in zip(pdf["what"], pdf["core"], pdf["n"], pdf["words"], strict=True):
+                # All tokens as one word, since a word may be typed in pieces; then the tokens.
+                rows += [(w, c, n, c, f"|{d}") for d in deletions(c)]
+                rows += [(w, c, n, f, k) for f in forms if " " in f for k in keys_of(f)]
+            yield pd.DataFrame(rows, columns=["what", "core", "n", "tokens", "part"])
+
+    index = cut(cores.select("what", "core", "n", "words").mapInPandas(emit, "what string, core string, n bigint, tokens string, part string"), "deletes")
     a, b = index.alias("a"), index.alias("b")
     more = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.core") < F.col("a.core")))
     close = F.levenshtein(F.col("a.core"), F.col("b.core"), 3)  # an exchange of neighbours counts as two here
+    several = F.col("a.tokens").contains(" ") & F.col("b.tokens").contains(" ")
     # A core that was typed alike by several is no misspelling of two edits, nor one edit from an equal.
-    likely = (F.col("a.n") <= 2) | (F.col("b.n") >= 3 * F.col("a.n"))
+    likely = (F.col("a.n") <= 2) | (F.col("b.n") >= 3 * F.col("a.n")) | several
     met = (
         a.join(b, (F.col("a.what") == F.col("b.what")) & (F.col("a.part") == F.col("b.part")) & more & likely)
-        .filter((close >= 0) & ((close <= 2) | (F.length("a.core") >= 9)))
-        .select("a.what", "a.core", F.col("a.n").alias("n"), F.col("b.core").alias("to"), F.col("b.n").alias("m"))
+        .filter(several | (close >= 0) & ((close <= 2) | (F.length("a.core") >= 9)))
+        .select("a.what", "a.core", F.col("a.n").alias("n"), F.col("b.core").alias("to"), F.col("b.n").alias("m"), F.col("a.tokens").alias("own"), F.col("b.tokens").alias("other"))
         .distinct()
     )
     mine = cores.select("what", "core", *[F.col(c).alias(f"my_{c}") for c in FACTS])
@@ -287,20 +356,22 @@ def core_roots(cores: DataFrame) -> DataFrame:
             out.append(F.coalesce(common, F.when(single, F.get(f"{side}_{c}", F.lit(0)))))
         return F.array_compact(F.array(*out))
 
-    met = met.filter(agree).select("what", "core", "n", "to", "m", "ok_city", tokens("my").alias("mine"), tokens("to").alias("theirs"))
+    met = met.filter(agree).select("what", "core", "n", "to", "m", "own", "other", "ok_city", tokens("my").alias("mine"), tokens("to").alias("theirs"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = np.array([distance(x, y) for x, y in zip(pdf["core"], pdf["to"], strict=True)], dtype=np.int32)
-            cost = [align((x, *a), (y, *b)) for x, y, a, b in zip(pdf["core"], pdf["to"], pdf["mine"], pdf["theirs"], strict=True)]
-            yield pdf.assign(d=d, cost=cost)[lambda p: (p["d"] <= 2) & (p["cost"] <= LIMIT)].drop(columns=["mine", "theirs"])
+            d = np.array([tokens_apart(x, y) for x, y in zip(pdf["own"], pdf["other"], strict=True)], dtype=np.int32)
+            cost = [align((*x.split(" "), *a), (*y.split(" "), *b)) for x, y, a, b in zip(pdf["own"], pdf["other"], pdf["mine"], pdf["theirs"], strict=True)]
+            yield pdf.assign(d=d, cost=cost)[lambda p: (p["d"] <= 2) & (p["cost"] <= LIMIT)].drop(columns=["mine", "theirs", "own", "other"])
 
     edges = met.mapInPandas(verify, "what string, core string, n bigint, to string, m bigint, ok_city boolean, d int, cost double")
-    edges = edges.filter((F.col("d") == 1) | (F.col("d") == 2) & (F.col("n") == 1) & F.col("ok_city") & (F.length("core") >= 9))
-    edges = cut(edges.select("what", "core", "to", "d"), "edges")
+    rare = (F.col("n") <= 2) | (F.col("m") >= 3 * F.col("n"))
+    rarer = (F.col("n") == 1) | (F.col("m") >= RARER * F.col("n"))
+    edges = edges.filter((F.col("d") == 0) | (F.col("d") == 1) & rare | (F.col("d") == 2) & rarer & F.col("ok_city") & (F.length("core") >= 9))
+    edges = cut(edges.groupBy("what", "core", "to").agg(F.min("d").alias("d")), "edges")
     # Two edits count only for a core that has no neighbour at one.
-    near_by = edges.filter("d = 1").select("what", "core").distinct()
-    edges = edges.filter("d = 1").unionByName(edges.filter("d = 2").join(near_by, ["what", "core"], "left_anti"))
+    near_by = edges.filter("d <= 1").select("what", "core").distinct()
+    edges = edges.filter("d <= 1").unionByName(edges.filter("d = 2").join(near_by, ["what", "core"], "left_anti"))
     return cores.join(components(edges.select("what", "core", "to")), ["what", "core"], "left").select("what", "core", F.coalesce("root", "core").alias("root"))
 
 
@@ -375,7 +446,7 @@ def classes(parties: DataFrame) -> DataFrame:
     rows = parties.select(F.col("party_id").cast("bigint").alias("party_id"), "name", F.lower(F.trim("city")).alias("city"), F.regexp_replace("nip", "[^0-9]", "").alias("nip")).distinct()
     names = cut(parsed(rows), "names")
     known = cut(rows.join(names, "name").drop("name"), "known")
-    cores = known.groupBy("what", "core").agg(F.count_distinct("party_id").alias("n"), *[F.collect_set(c).alias(c) for c in FACTS])
+    cores = known.groupBy("what", "core").agg(F.count_distinct("party_id").alias("n"), F.collect_set("words").alias("words"), *[F.collect_set(c).alias(c) for c in FACTS])
     roots = core_roots(cut(cores, "cores"))
     placed = cut(known.join(roots, ["what", "core"]), "placed")
     signs = cut(placed.select(*SIGN).distinct(), "signs")

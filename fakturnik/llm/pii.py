@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .names import FIRST, FOLD
+from .names import FIRST, FOLD, OTHER_FIRST
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 THRESHOLDS = dict.fromkeys(KINDS, 0.5)
@@ -84,10 +84,7 @@ CUES = [
     ("pan pani panem panu prosbe adresat odbiorca zleceniobiorca podpisano wystawil zatwierdzil reklamacj rozmow kierowca", 44),
 ]
 FIRST_STEMS = {name[: max(4, len(name) - 3)] for name in FIRST} | {"oldz", "franciszk", "pawl", "elzbie", "doro", "zofi", "olg"}
-#: Further first names (folded), which only the names with other surnames look for.
-OTHER_FIRST = """adam adrian alicja aleksander aleksandra andrzej aneta anna antoni arkadiusz artur barbara beata bogdan bozena daniel danuta dariusz dominik edward emilia ewa ewelina filip gabriela halina hanna helena
-    irena izabela jacek jadwiga jakub jan janina janusz jaroslaw jerzy jozef jolanta julia justyna kamil karol karolina kinga klaudia konrad krystyna krzysztof leszek magdalena maciej marcin marek maria marian mariusz
-    marta mateusz michal miroslaw monika norbert patryk paulina piotr przemyslaw rafal renata roman ryszard sebastian slawomir sylwia szymon teresa tomasz wanda weronika wieslaw witold wladyslaw zbigniew zdzislaw zygmunt""".split()
+#: Stems of further first names, which only the names with other surnames look for.
 OTHER_STEMS = {name[:-1] if name.endswith("a") else {"marek": "mar", "jacek": "jac", "leszek": "lesz"}.get(name, name) for name in OTHER_FIRST}
 MISREAD = str.maketrans("0135@|", "olesal")
 

@@ -187,6 +187,45 @@ def test_variants_meet(spark):
     assert not any(i in got for i in (12, 13, 14, 15))
 
 
+def test_parts_in_any_order_meet(spark):
+    rows = [
+        ("Piotr Nowak", None), ("Nowak Piotr", None), ("P. Nowak", None), ("Apteka Zdrowie", None), ("Zdrowie Apteka", None), ("Zdrowie Aptekka", None), ("Kowal-Bud", None), ("Kowalbud", None),
+        ("Apteka Radość", None), ("Wiktor Kmieć", None), ("Kmieć Wiktor", None), ("Karol Kmieć", None),
+    ]
+    got = entity(spark, rows)
+    same = lambda *ids: len({got[i] for i in ids}) == 1
+    assert same(0, 1, 2) and same(3, 4, 5) and same(6, 7) and same(9, 10) and len({got[i] for i in (0, 3, 6, 8, 9, 11)}) == 6
+
+
+def test_long_names_are_indexed(spark):
+    long = "przedsiebiorstwowielobranzowo" * 3
+    rows = [(long, None)] * 3 + [(long[:30] + "x" + long[30:], None), (long[:80] + long[81:], None), (long[:40][::-1] + long[40:], None)]
+    got = entity(spark, rows)
+    assert got[0] == got[3] == got[4] != got[5]
+    r = np.random.default_rng(2)
+    for n in (39, 40, 41, 42, 60, 101):
+        word = "".join(r.choice(list("abcdefg"), n))
+        for _ in range(20):
+            w = list(word)
+            for _ in range(2):
+                at = int(r.integers(0, len(w) - 1))
+                kind = int(r.integers(0, 4))
+                if kind == 0:
+                    w[at] = "x"
+                elif kind == 1:
+                    del w[at]
+                elif kind == 2:
+                    w.insert(at, "y")
+                else:
+                    w[at], w[at + 1] = w[at + 1], w[at]
+            assert names.deletions(word) & names.deletions("".join(w))
+
+
+def test_token_assignment():
+    assert names.tokens_apart("jan kowal", "kowal jan") == 0 and names.tokens_apart("apteka zdrowie", "zdrowie aptekka") == 1
+    assert names.tokens_apart("kowal bud", "kowalbud") == 0 and names.tokens_apart("jan kowal", "jan mazur") == 3
+
+
 def test_no_names(spark):
     none = spark.createDataFrame([], "party_id bigint, name string, nip string, city string")
     assert names.found(none).count() == 0
@@ -208,6 +247,19 @@ def test_places(spark):
     assert addresses.found(df.limit(0), codes).count() == 0
 
 
+def test_towns_are_told_by_postal_district_and_streets_may_be_long(spark):
+    codes = spark.createDataFrame([("16-546", "Piaskostaw"), ("62-471", "Wilczęcin")], "postal_code string, city string")
+    street = "Chrząszczyżewoszyckiegołękołodzkiegokonstantynopolitańska"
+    rows = [("ul. Badeczaka 7", "62-471", "Wilczęcin", None), ("Badeczaka 7", "62-999", None, None), ("Badeczaka 7", "80-999", None, None)]
+    rows += [(f"{street} 3", "62-471", None, None)] * 3 + [(f"{street[:20]}{street[21:]} 3", "62-471", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "addr_id bigint, street string, postal_code string, city string, raw string")
+    got = {r["addr_id"]: r["place"] for r in addresses.places(df, codes).collect()}
+    assert got[0] == got[1] != got[2] and got[3] == got[6]
+    many = spark.range(addresses.REFERENCE_ROWS + 1).selectExpr("cast(id as string) postal_code", "'x' city")
+    with pytest.raises(ValueError, match="postal codes"):
+        addresses.places(df, many)
+
+
 # --- tokens -------------------------------------------------------------------------------------------
 
 TEXTS = ["Zażółć gęślą jaźń 👍🏽", "", None, " ", "<|endoftext|> zwykły tekst", "a" * 50_000, "日本\r\n\t"]
