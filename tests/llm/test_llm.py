@@ -251,7 +251,7 @@ def test_towns_are_told_by_postal_district_and_streets_may_be_long(spark):
     codes = spark.createDataFrame([("16-546", "Piaskostaw"), ("62-471", "Wilczęcin")], "postal_code string, city string")
     street = "Chrząszczyżewoszyckiegołękołodzkiegokonstantynopolitańska"
     rows = [("ul. Badeczaka 7", "62-471", "Wilczęcin", None), ("Badeczaka 7", "62-999", None, None), ("Badeczaka 7", "80-999", None, None)]
-    rows += [(f"{street} 3", "62-471", None, None)] * 3 + [(f"{street[:20]}{street[21:]} 3", "62-471", None, None)]
+    rows += [(f"{street} {n}", "62-471", None, None) for n in (3, 4, 5)] + [(f"{street[:20]}{street[21:]} 3", "62-471", None, None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "addr_id bigint, street string, postal_code string, city string, raw string")
     got = {r["addr_id"]: r["place"] for r in addresses.places(df, codes).collect()}
     assert got[0] == got[1] != got[2] and got[3] == got[6]
