@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .matching import capture, find_all, group, let, stripped, typed
+from .matching import capture, find_all, first, group, let, stripped, typed
 
 MONEY = "decimal(20,2)"
 WIDE = "decimal(38,10)"
@@ -21,6 +21,16 @@ def amounts(text: Column) -> Column:
     return typed(find_all(text, P.AMOUNT, 2), _money, 0.8)
 
 
+def first_amount(text: Column) -> Column:
+    return first(amounts(text))
+
+
+def priced(text: Column) -> Column:
+    """All amounts with a currency behind them: value and the sign or code of the currency."""
+    made = F.transform(find_all(text, P.AMOUNT_WITH_CURRENCY, 3), lambda h: F.struct(_money(h).alias("value"), group(h, 3).alias("currency"), h.start.alias("start"), h.end.alias("end")))
+    return F.filter(made, lambda m: m.value.isNotNull())
+
+
 def parse_amount(text: Column) -> Column:
     """An amount in Polish or English notation: the later of comma and dot is the decimal sign."""
     return let(F.regexp_replace(text, r"[^0-9,.]", ""), _plain_amount)

@@ -33,6 +33,11 @@ def dates(text: Column) -> Column:
     return and_then(and_then(dmy, ymd), long)
 
 
+def iso_date(text: Column) -> Column:
+    """The first date of a text as yyyy-MM-dd."""
+    return F.date_format(first(dates(text)), "yyyy-MM-dd")
+
+
 def labelled(text: Column) -> dict[str, Column]:
     """issue, sale and due date behind their labels; the issue date falls back on the first date of the text."""
     at = lambda p: first(dates(capture(text, p)))

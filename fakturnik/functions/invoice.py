@@ -21,7 +21,11 @@ PARTY = (
 
 @dataclass(frozen=True)
 class ParseOptions:
-    """Options of the parser; only the NIP check changes what is extracted."""
+    """Options of the parser.
+
+    ``validate_nip`` and ``source_type`` change the result. The other three are kept for callers that set
+    them and have no effect: REGON and IBAN are always checked, and no invoice is dropped for its confidence.
+    """
 
     validate_nip: bool = True
     validate_regon: bool = True
@@ -80,6 +84,30 @@ def parse(df: DataFrame, text: str = "text", options: ParseOptions = ParseOption
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
 
 
+def text_only(df: DataFrame, text: str = "text", options: ParseOptions = ParseOptions()) -> DataFrame:
+    """The frame with the invoice alone, without the parser's notes."""
+    return parse(df, text, options).drop("warnings")
+
+
+def with_metadata(df: DataFrame, text: str = "text", options: ParseOptions = ParseOptions()) -> DataFrame:
+    """The frame with one struct ``result``: invoice, raw_text and warnings."""
+    out = parse(df, text, options)
+    return out.withColumn("result", F.struct("invoice", F.coalesce(F.col(text), F.lit("")).alias("raw_text"), "warnings")).drop("invoice", "warnings")
+
+
+def parse_with_layout(pages: DataFrame, table_text: str = "table_text", text: str = "text", has_layout: str = "has_layout", engine: str = "onnx") -> DataFrame:
+    """``parse`` for recognised pages: items of the text of table regions stand for those of the page where there are any.
+
+    ``table_text`` holds the lines of the page's table regions (``layout.line_texts``), null without a table.
+    """
+    out = parse(pages, text)
+    found = I.table_items(F.coalesce(F.col(table_text), F.lit("")))
+    items = F.when(F.size(found) > 0, found).otherwise(F.col("invoice.line_items"))
+    source = F.when(F.col(has_layout), F.lit("scanned_with_layout")).otherwise(F.col("invoice.metadata.source_type"))
+    meta = F.col("invoice.metadata").withField("source_type", source).withField("ocr_engine", F.lit(engine))
+    return out.withColumn("invoice", F.col("invoice").withField("line_items", items).withField("metadata", meta))
+
+
 def issues(invoice: Column, sum_net: Column | None = None, sum_gross: Column | None = None) -> Column:
     """What is missing or does not add up in an invoice, in fixed order."""
     zero = F.lit(0).cast(A.MONEY)

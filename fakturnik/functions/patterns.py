@@ -22,6 +22,7 @@ ISSUE_DATE = r"(?iUd)(?:data\s+(?:wystawienia|faktury)|wystawion[ao]?\s+dnia?)[\
 SALE_DATE = r"(?iUd)(?:data\s+sprzeda[żz]y|data\s+dostawy|data\s+wykonania)[\s:]*(.+?)(?:\n|\z)"
 DUE_DATE = r"(?iUd)(?:termin\s+p[łl]atno[śs]ci|termin\s+zap[łl]aty|p[łl]atne?\s+do)[\s:]*(.+?)(?:\n|\z)"
 AMOUNT = rf"(?U)({AM})[,.](\d{{2}})\b"
+AMOUNT_WITH_CURRENCY = rf"(?U)({AM})[,.](\d{{2}})\s*(PLN|zł|EUR|€|USD|\$|GBP|£)"
 TOTAL_GROSS = rf"(?iU)(?:razem|suma|do\s+zap[łl]aty|kwota\s+brutto|warto[śs][ćc]\s+brutto)[\s:]*({AM}[,.]\d{{2}})"
 TOTAL_NET = rf"(?iU)(?:netto|warto[śs][ćc]\s+netto|razem\s+netto)[\s:]*({AM}[,.]\d{{2}})"
 TOTAL_VAT = rf"(?iU)(?:VAT|podatek|kwota\s+VAT|razem\s+VAT)[\s:]*({AM}[,.]\d{{2}})"

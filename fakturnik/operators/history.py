@@ -2,8 +2,9 @@
 
 Snapshots are first reduced to one row per (entity, day), so that an entity of any size brings at
 most as many rows into its window as there are days; the reduction is an aggregate that combines
-before the shuffle. Windows then carry known values forward, compare the hash of the attributes with
-the row before (lag), number the islands by a running sum and take each island's first day and the
+before the shuffle. Windows then carry known values forward (and the first known one back, so that a
+value that becomes known is no change), compare the hash of all attributes with that of the row before
+(lag), number the islands by a running sum and take each island's first day and the
 first day of the next.
 
 Defined cases: rows without entity or day are left out; a missing attribute is no change (the last
@@ -39,13 +40,11 @@ def versions(df: DataFrame, entity: Column, day: Column, attributes: dict[str, C
         .agg(*[F.min(n).alias(n) for n in names])
     )
     by_day = Window.partitionBy("entity").orderBy("day")
-    known = daily.select("entity", "day", *[F.last(n, ignorenulls=True).over(by_day).alias(n) for n in names])
-    changed = F.lit(False)
-    for n in names:
-        before = F.lag(n).over(by_day)
-        changed = changed | F.coalesce(F.col(n) != before, F.lit(False))
-    first = F.row_number().over(by_day) == 1
-    islands = known.withColumn("starts", (first | changed).cast("int")).withColumn("version", F.sum("starts").over(by_day))
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = daily.select("entity", "day", *[F.last(n, ignorenulls=True).over(by_day).alias(n) for n in names], *[F.first(n, ignorenulls=True).over(whole).alias(f"_first_{n}") for n in names])
+    known = known.withColumn("_hash", F.xxhash64(*[F.coalesce(n, f"_first_{n}", F.lit("")) for n in names]))
+    before = F.lag("_hash").over(by_day)
+    islands = known.withColumn("starts", (before.isNull() | (F.col("_hash") != before)).cast("int")).withColumn("version", F.sum("starts").over(by_day))
     # A value first seen inside a version belongs to all of it, so the version shows the last known of each.
     whole = islands.groupBy("entity", "version").agg(F.min("day").alias("valid_from"), F.max("day").alias("last_seen"), *[F.max_by(n, "day").alias(n) for n in names])
     return whole.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("entity").orderBy("version")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +32,83 @@ def adaptive_threshold(pixels: DataFrame, block: int = 15, c: int = 5, key: str
     return sums.select(key, "x", "y", F.when(F.col("v") > mean - c, 255).otherwise(0).alias("v"))
 
 
+def enhance(pixels: DataFrame, key: str = "img_id") -> DataFrame:
+    """(key, x, y, v) of colour pixels (key, x, y, r, g, b): grey by the usual weights of luma, then the local threshold of 15 and 5."""
+    grey = (F.col("r") * 2126 + F.col("g") * 7152 + F.col("b") * 722) / 10000
+    return adaptive_threshold(pixels.select(key, "x", "y", F.floor(grey).cast("int").alias("v")), 15, 5, key)
+
+
+#: Runs of pixels up to which an image is labelled inside one task; larger ones are labelled by rounds of joins.
+IMAGE_RUNS = 500_000
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """1-based numbers of the 4-connected components of a mask (0 outside), by a union of the runs of neighbouring rows."""
+    out = np.zeros(mask.shape, dtype=np.int64)
+    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, a = np.nonzero(step == 1)
+    b = np.nonzero(step == -1)[1] - 1
+    root = runs_united(y, a, b)
+    number = np.unique(root, return_inverse=True)[1] + 1
+    for k in range(len(y)):
+        out[y[k], a[k] : b[k] + 1] = number[k]
+    return out
+
+
+def runs_united(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For runs (row, first and last column) in order of row and column, the number of the first run of each one's component."""
+    root = list(range(len(y)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    above = begin = 0  # runs of the row above still to be compared, first run of this row
+    for k in range(len(y)):
+        if k and y[k] != y[k - 1]:
+            above, begin = (begin if y[k] == y[k - 1] + 1 else k), k
+        at = above
+        while at < begin and a[at] <= b[k]:
+            if b[at] >= a[k]:
+                p, q = find(at), find(k)
+                root[max(p, q)] = min(p, q)
+            if b[at] <= b[k]:
+                above = at + 1 if at == above and b[at] < a[k] else above
+            at += 1
+    return np.array([find(k) for k in range(len(y))], dtype=np.int64)
+
+
 def components(points: DataFrame, key: str = "img_id") -> DataFrame:
     """(key, x, y, component) of 4-connected points: the smallest y * 2^20 + x of the component.
 
-    Points are first folded to runs along x; labels then travel between touching runs of neighbouring
-    rows and jump to the label of the label, so the rounds grow with the logarithm of the longest path.
+    Points are first folded to runs along x. An image of up to IMAGE_RUNS runs is labelled in one task, many
+    images at a time; a larger one by labels that travel between touching runs of neighbouring rows and jump
+    to the label of the label, so the rounds grow with the logarithm of the longest path.
     """
     line = Window.partitionBy(key, "y").orderBy("x")
     runs = points.select(key, "x", "y").distinct().withColumn("g", F.col("x") - F.row_number().over(line))
     runs = runs.groupBy(key, "y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     runs = cut(runs.withColumn("id", F.col("y").cast("bigint") * (1 << 20) + F.col("a")), "runs")
+    large = runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs")).filter(F.col("runs") > IMAGE_RUNS).select(key)
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "a"], ignore_index=True)
+        first = runs_united(pdf["y"].to_numpy(), pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pdf.assign(label=pdf["id"].to_numpy()[first])
+
+    kind = points.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, y {runs.schema['y'].dataType.simpleString()}, a {runs.schema['a'].dataType.simpleString()}, b {runs.schema['b'].dataType.simpleString()}, id bigint, label bigint"
+    done = runs.join(large, key, "left_anti").select(key, "y", "a", "b", "id").groupBy(key).applyInPandas(image, schema)
+    if not large.isEmpty():
+        rest = cut(runs.join(large, key, "left_semi"), "runs")
+        done = done.unionByName(_by_rounds(rest, key).select(key, "y", "a", "b", "id", "label"))
+    return done.select(key, F.explode(F.sequence("a", "b")).alias("x"), "y", F.col("label").alias("component"))
+
+
+def _by_rounds(runs: DataFrame, key: str) -> DataFrame:
+    """The runs of large images with the label of their component."""
     p, q = runs.alias("p"), runs.alias("q")
     touch = (F.col(f"p.{key}") == F.col(f"q.{key}")) & (F.col("p.y") + 1 == F.col("q.y")) & (F.col("p.a") <= F.col("q.b")) & (F.col("p.b") >= F.col("q.a"))
     edges = p.join(q, touch).select(F.col(f"p.{key}").alias(key), F.col("p.id").alias("u"), F.col("q.id").alias("w"))
@@ -54,20 +122,24 @@ def components(points: DataFrame, key: str = "img_id") -> DataFrame:
         labels = new.select(key, "id", F.col("next").alias("label"))
         if new.filter("next <> label").isEmpty():
             break
-    out = runs.join(labels, [key, "id"])
-    return out.select(key, F.explode(F.sequence("a", "b")).alias("x"), "y", F.col("label").alias("component"))
+    return runs.join(labels, [key, "id"])
 
 
-def detection_boxes(prob: DataFrame, least: float = 0.3, box_least: float = 0.6, min_pixels: int = 10, unclip: float = 1.5, key: str = "img_id") -> DataFrame:
-    """Boxes of a probability map: components of pixels over ``least``, big and sure enough, spread by ``unclip``."""
+def detection_boxes(prob: DataFrame, least: float = 0.3, box_least: float = 0.6, min_pixels: int = 10, unclip: float = 1.5, key: str = "img_id", scale: tuple[float, float] = (1.0, 1.0), size: tuple[float, float] | None = None) -> DataFrame:
+    """Boxes of a probability map: components of pixels over ``least``, big and sure enough, spread by ``unclip``.
+
+    ``scale`` is what the image was scaled by; the boxes come out in the image itself, clipped to its ``size``.
+    """
     hot = prob.filter(F.col("p") > least)
     whole = components(hot, key).join(hot, [key, "x", "y"])
     boxes = whole.groupBy(key, "component").agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"), F.avg("p").alias("score"), F.count(F.lit(1)).alias("pixels"))
     boxes = boxes.filter((F.col("pixels") >= min_pixels) & (F.col("score") >= box_least))
     dx, dy = (F.col("bx") - F.col("ax")) * ((unclip - 1) / 2), (F.col("by") - F.col("ay")) * ((unclip - 1) / 2)
-    return boxes.select(
-        key, "component", F.greatest(F.col("ax") - dx, F.lit(0.0)).alias("x1"), F.greatest(F.col("ay") - dy, F.lit(0.0)).alias("y1"), (F.col("bx") + dx).alias("x2"), (F.col("by") + dy).alias("y2"), "score", "pixels"
-    )
+    sx, sy = scale
+    ends = [F.greatest(F.col("ax") - dx, F.lit(0.0)) / sx, F.greatest(F.col("ay") - dy, F.lit(0.0)) / sy, (F.col("bx") + dx) / sx, (F.col("by") + dy) / sy]
+    if size:
+        ends = [F.least(F.greatest(v, F.lit(0.0)), F.lit(float(size[i % 2]))) for i, v in enumerate(ends)]
+    return boxes.select(key, "component", *[v.alias(n) for v, n in zip(ends, ("x1", "y1", "x2", "y2"), strict=True)], "score", "pixels")
 
 
 # --- Tensors, used inside Arrow batches ---------------------------------------------------------------

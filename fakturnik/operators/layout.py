@@ -40,6 +40,24 @@ def area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return (x2 - x1) * (y2 - y1)
 
 
+def region_size(r) -> dict[str, Column]:
+    """width, height and area of a struct with x1, y1, x2, y2."""
+    return {"width": r["x2"] - r["x1"], "height": r["y2"] - r["y1"], "area": area(r["x1"], r["y1"], r["x2"], r["y2"])}
+
+
+def holds(r, x: Column, y: Column) -> Column:
+    """Whether a region holds a point, edges included."""
+    return x.between(r["x1"], r["x2"]) & y.between(r["y1"], r["y2"])
+
+
+def tables_of(regions: DataFrame) -> DataFrame:
+    return regions.filter(is_table(F.col("region_type")))
+
+
+def text_regions(regions: DataFrame) -> DataFrame:
+    return regions.filter(is_text(F.col("region_type")))
+
+
 def overlaps(a: str, b: str) -> Column:
     """Whether two regions (aliases with x1, y1, x2, y2) share more than an edge."""
     c = lambda t, n: F.col(f"{t}.{n}")
@@ -59,6 +77,11 @@ def clip(value: Column, low, high) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def clip_quad(bbox: Column, width: Column, height: Column) -> Column:
+    """The eight corner values, each within the image."""
+    return F.transform(bbox, lambda v, i: F.least(F.greatest(v, F.lit(0.0).cast("float")), F.when(i % 2 == 0, width).otherwise(height).cast("float")))
+
+
 def boxes_in_regions(boxes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes whose upper left corner lies in a region of the same page, edges included; once for each region that holds it."""
     b, r = boxes.alias("b"), regions.alias("r")

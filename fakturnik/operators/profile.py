@@ -34,7 +34,7 @@ class FieldSpec:
     value: Column
     judged: Column | None = None
     broken: Column | None = None  # over the column ``judged``
-    measure: Column | None = None  # over the column ``judged``; binned, so that its domain is bounded
+    measure: Column | None = None  # over the column ``judged``; on a coarse scale
     kind: str = "string"  # the column's own type, in whose order its range is taken
 
 
@@ -73,7 +73,7 @@ def invoice_fields() -> list[FieldSpec]:
             at("header.due_date").cast("string"),
             _judged(issued=at("header.issue_date"), due=at("header.due_date")),
             broken=F.coalesce((j.due < j.issued) | (j.due > F.add_months(j.issued, 120)), F.lit(False)),
-            measure=F.when(late.isNotNull(), F.greatest(F.lit(-400), F.least(F.lit(4000), late)).cast("double")),
+            measure=late.cast("double"),
             kind="date",
         ),
     ]
@@ -127,21 +127,67 @@ def apply_delta(state: DataFrame, delta: DataFrame, sign: int = 1) -> DataFrame:
 
 
 class CountStore:
-    """A value-count table kept in a folder; every commit writes a new version beside the old one."""
+    """A value-count table kept in a folder as signed deltas; survives the session and is opened again by its folder.
+
+    A commit writes its delta (of a load, or of any batch of rows) and then a manifest that names the live
+    parts, so a commit that fails half way leaves the version before it. Cost grows with the delta, not with
+    the table; only after COMPACT deltas are they folded into one part, whose rows are laid out by load.
+    Reading adds the parts up; values whose counts cancel are gone. One writer at a time.
+    """
+
+    #: Parts from which a commit folds them into one.
+    COMPACT = 16
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
-        self.version = 0
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+    def versions(self) -> list[int]:
+        """The complete versions in the folder, in order."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root)]
+        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[1:]) for p in done)
+
+    @property
+    def version(self) -> int:
+        return max(self.versions(), default=0)
+
+    def parts(self, version: int | None = None) -> list[str]:
+        """The parts of a version (the last one unless named)."""
+        at = self.version if version is None else version
+        if not at:
+            return []
+        return sorted(r["value"] for r in self.spark.read.text(f"{self.folder}/manifest/v{at}").collect())  # at most COMPACT lines
+
+    def _added(self, parts: list[str]) -> DataFrame:
+        deltas = self.spark.read.parquet(*[f"{self.folder}/{p}" for p in parts])
+        if len(parts) == 1:
+            return deltas.filter(F.col("n") != 0)
+        merged = deltas.groupBy("field", "load", "key").agg(F.first("value").alias("value"), F.first("judged").alias("judged"), F.sum("n").alias("n"))
+        return merged.filter(F.col("n") != 0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        parts = self.parts(version)
+        if not parts:
+            raise ValueError(f"no version in {self.folder}")
+        return self._added(parts)
 
     def commit(self, delta: DataFrame, sign: int = 1) -> DataFrame:
-        new = apply_delta(self.read(), delta, sign) if self.version else delta.filter(F.col("n") != 0)
-        new.write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
-        return self.read()
+        """Adds a batch's counts (or takes them away, with sign -1) and gives the new state."""
+        parts, at = self.parts(), self.version + 1
+        name = f"delta-{at}-{uuid.uuid4().hex}"
+        delta.withColumn("n", F.col("n") * F.lit(sign)).write.parquet(f"{self.folder}/{name}")
+        parts = [*parts, name]
+        if len(parts) >= self.COMPACT:
+            whole = f"whole-{at}-{uuid.uuid4().hex}"
+            self._added(parts).sortWithinPartitions("load", "field").write.parquet(f"{self.folder}/{whole}")
+            parts = [whole]
+        self.spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/v{at}")
+        return self._added(parts)
 
 
 def _broken_column(fields: list[FieldSpec]) -> Column:

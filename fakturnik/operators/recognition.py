@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import argmax
@@ -19,9 +19,9 @@ DICTIONARY = list(" " + string.digits + string.ascii_uppercase + string.ascii_lo
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(idx, ch) of a dictionary file: the blank, then the first sign of each filled line; a file of some hundred lines."""
-    lines = spark.read.text(path).filter("value <> ''").withColumn("at", F.monotonically_increasing_id())
-    ranked = lines.select(F.row_number().over(Window.orderBy("at")).alias("idx"), F.substring("value", 1, 1).alias("ch"))
-    return spark.createDataFrame([(0, " ")], "idx int, ch string").unionByName(ranked)
+    whole = spark.read.text(path, wholetext=True)  # one file of some hundred lines is one row
+    signs = F.transform(F.filter(F.split("value", r"\r?\n"), lambda t: t != ""), lambda t: F.substring(t, 1, 1))
+    return whole.select(F.posexplode(F.concat(F.array(F.lit(" ")), signs)).alias("idx", "ch"))
 
 
 def ctc(steps: Column, signs: list[str] | None = None) -> Column:
@@ -73,18 +73,29 @@ def _session(path: str):
     return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
 
 
+#: Tensors in one call of a model at most.
+CALL = 16
+
+
 def score(df: DataFrame, key: str, tensor: str, model_path: str) -> DataFrame:
     """(key, shape, data): the first output of an ONNX model for a struct<shape, data> column, one session per worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session = _session(model_path)
         name = session.get_inputs()[0].name
+        free = not isinstance((session.get_inputs()[0].shape or [1])[0], int)  # the model takes any number at once
         for pdf in batches:
-            shapes, datas = [], []
-            for x in pdf[tensor]:
-                y = np.asarray(session.run(None, {name: np.asarray(x["data"], dtype=np.float32).reshape(list(x["shape"]))})[0], dtype=np.float32)
-                shapes.append(list(y.shape))
-                datas.append(y.ravel().tolist())
+            shapes, datas = [None] * len(pdf), [None] * len(pdf)
+            together: dict[tuple, list[int]] = {}  # tensors of one shape (but for their first side) go in one call
+            tensors = [np.asarray(x["data"], dtype=np.float32).reshape(list(x["shape"])) for x in pdf[tensor]]
+            for i, x in enumerate(tensors):
+                together.setdefault((free, *x.shape[1:]) if free and x.shape[:1] == (1,) else (i,), []).append(i)
+            for at in together.values():
+                for some in (at[k : k + CALL] for k in range(0, len(at), CALL)):
+                    y = np.asarray(session.run(None, {name: np.concatenate([tensors[i] for i in some])})[0], dtype=np.float32)
+                    parts = np.split(y, len(some)) if len(some) > 1 else [y]
+                    for i, part in zip(some, parts, strict=True):
+                        shapes[i], datas[i] = list(part.shape), part.ravel()
             yield pd.DataFrame({key: pdf[key], "shape": shapes, "data": datas})
 
     return df.select(key, tensor).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, shape array<int>, data array<float>")

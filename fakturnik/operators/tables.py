@@ -55,6 +55,50 @@ def cell_at(cells: DataFrame, row: Column, col: Column) -> DataFrame:
     return cells.filter(hit).groupBy("table_id").agg(F.min_by("content", "ord").alias("content"))
 
 
+def row_of(cells: DataFrame, row: int) -> DataFrame:
+    """The cells that begin in a row."""
+    return cells.filter(F.col("row") == row)
+
+
+def column_of(cells: DataFrame, col: int) -> DataFrame:
+    """The cells that begin in a column."""
+    return cells.filter(F.col("col") == col)
+
+
+def header(cells: DataFrame) -> DataFrame:
+    return row_of(cells, 0)
+
+
+def data_rows(cells: DataFrame) -> DataFrame:
+    """The rows below the header, each with its cells from left to right: (table_id, row, cells)."""
+    cell = F.struct("col", "ord", "content", "row_span", "col_span")
+    return cells.filter(F.col("row") > 0).groupBy("table_id", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def spans_rows(row_span: Column) -> Column:
+    return row_span > 1
+
+
+def spans_columns(col_span: Column) -> Column:
+    return col_span > 1
+
+
+def cell_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return (x2 - x1) * (y2 - y1)
+
+
+def structure(outputs: Column) -> Column:
+    """struct<cells, rows, cols> of a model's outputs (array of struct<name, steps>).
+
+    The output whose name speaks of structure, or else the first, gives the token scores by step; without
+    any output the table is one cell.
+    """
+    named = F.filter(outputs, lambda o: o.name.contains("structure") | o.name.contains("output"))
+    steps = F.coalesce(F.get(named, F.lit(0)).steps, F.get(outputs, F.lit(0)).steps)
+    one = F.struct(F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))).cast(CELLS).alias("cells"), F.lit(1).alias("rows"), F.lit(1).alias("cols"))
+    return F.when(steps.isNotNull(), decode_tokens(structure_tokens(steps))).otherwise(one)
+
+
 def dense_grid(cells: DataFrame, size: DataFrame) -> DataFrame:
     """(table_id, row, col, content): every covered place inside the table's size; where cells overlap the later one stands."""
     spread = (

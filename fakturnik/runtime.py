@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, but only if driver and executors are one
+    process (tests on one machine); on a cluster the absence is an error, since executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="fakturnik-")
         spark.conf.set("spark.checkpoint.dir", named)

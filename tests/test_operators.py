@@ -49,6 +49,45 @@ def test_signed_deltas(spark):
     assert sorted(map(str, store.read().select("field", "load", "key", "n").collect())) == before
 
 
+def test_store_is_opened_again(spark, tmp_path):
+    """Counts outlive the object that wrote them; a load is withdrawn later; a commit without manifest does not count; parts are folded."""
+    fields, folder = profile.invoice_fields(), str(tmp_path / "counts")
+    load = lambda n: profile.counts(spark.createDataFrame([invoice(10 * n + i, load=n, number=f"FV/{i}") for i in range(3)], SCHEMA), fields)
+    state = lambda s: sorted(map(str, s.read().select("field", "load", "key", "n").collect()))
+    first = profile.CountStore(spark, folder)
+    first.commit(load(1))
+    one = state(first)
+    again = profile.CountStore(spark, folder)
+    again.commit(load(2))
+    assert again.version == 2 and state(first) == state(again) != one
+    load(3).write.parquet(f"{folder}/delta-3-broken")
+    (tmp_path / "counts" / "manifest" / "v3").mkdir()
+    assert profile.CountStore(spark, folder).version == 2
+    profile.CountStore(spark, folder).commit(load(2), sign=-1)
+    assert state(profile.CountStore(spark, folder)) == one
+    assert sorted(map(str, again.read(1).select("field", "load", "key", "n").collect())) == one
+    again.COMPACT = 3
+    again.commit(load(4))
+    assert len(again.parts()) == 1 and again.read().filter("load = 4").count() > 0 and again.read().filter("load = 2").count() == 0
+    with pytest.raises(ValueError, match="no version"):
+        profile.CountStore(spark, str(tmp_path / "none")).read()
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fakturnik import runtime
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, fails in (("yarn", True), ("spark://h:7077", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+        if fails:
+            with pytest.raises(RuntimeError):
+                runtime.shared_folder(fake)
+        else:
+            assert runtime.shared_folder(fake).startswith("file:")
+
+
 def test_departing_loads(spark):
     rows = [invoice(100 * load + i, load=load, number=f"FV/{100 * load + i}", gross=i + 10, net=None) for load in range(1, 7) for i in range(100)]
     rows += [invoice(900 + i, load=7, number="FV/7" if i < 60 else None, gross=(i + 10) * 1000, net=None, due=DAY + dt.timedelta(90)) for i in range(100)]
@@ -91,6 +130,13 @@ def test_history(spark):
     assert got == [(d(0), d(3), "12"), (d(3), d(4), "34"), (d(4), None, "12")]
 
 
+def test_history_of_values_that_become_known(spark):
+    d = lambda n: DAY + dt.timedelta(n)
+    rows = [invoice(1, issued=d(0), account=None, street=None), invoice(2, issued=d(1), account="12", street=None), invoice(3, issued=d(2), account=None, street="B 2"), invoice(4, issued=d(3), account="34", street=None)]
+    got = [(r["valid_from"], r["bank_account"], r["street"]) for r in history.issuer_history(spark.createDataFrame(rows, SCHEMA)).orderBy("version").collect()]
+    assert got == [(d(0), "12", "b2"), (d(3), "34", "b2")]
+
+
 def test_layout(spark):
     boxes = spark.createDataFrame([(1, 1, "a", 0.0, 1.0), (1, 2, "b", 5.0, 10.0), (1, 3, "c", 0.0, 20.0), (1, 4, "d", 0.0, 30.0), (1, 5, None, 1.0, 31.0)], "doc int, box_id int, text string, x1 double, y1 double")
     assert layout.line_texts(boxes, ["doc"]).first()["text"] == "a | b\nc | d | "
