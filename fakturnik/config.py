@@ -60,8 +60,11 @@ class Config:
     def load(cls, path: str) -> Config:
         return cls.from_dict(json.loads(Path(path).read_text()))
 
+    def text(self) -> str:
+        return json.dumps(asdict(self), indent=2)
+
     def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self), indent=2))
+        Path(path).write_text(self.text())
 
     def get(self, key: str) -> Any:
         value: Any = asdict(self)

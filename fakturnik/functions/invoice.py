@@ -95,12 +95,12 @@ def with_metadata(df: DataFrame, text: str = "text", options: ParseOptions = Par
     return out.withColumn("result", F.struct("invoice", F.coalesce(F.col(text), F.lit("")).alias("raw_text"), "warnings")).drop("invoice", "warnings")
 
 
-def parse_with_layout(pages: DataFrame, table_text: str = "table_text", text: str = "text", has_layout: str = "has_layout", engine: str = "onnx") -> DataFrame:
+def parse_with_layout(pages: DataFrame, table_text: str = "table_text", text: str = "text", has_layout: str = "has_layout", engine: str = "onnx", options: ParseOptions = ParseOptions()) -> DataFrame:
     """``parse`` for recognised pages: items of the text of table regions stand for those of the page where there are any.
 
     ``table_text`` holds the lines of the page's table regions (``layout.line_texts``), null without a table.
     """
-    out = parse(pages, text)
+    out = parse(pages, text, options)
     found = I.table_items(F.coalesce(F.col(table_text), F.lit("")))
     items = F.when(F.size(found) > 0, found).otherwise(F.col("invoice.line_items"))
     source = F.when(F.col(has_layout), F.lit("scanned_with_layout")).otherwise(F.col("invoice.metadata.source_type"))

@@ -93,7 +93,7 @@ def structure(outputs: Column) -> Column:
     The output whose name speaks of structure, or else the first, gives the token scores by step; without
     any output the table is one cell.
     """
-    named = F.filter(outputs, lambda o: o.name.contains("structure") | o.name.contains("output"))
+    named = F.filter(outputs, lambda o: o["name"].contains("structure") | o["name"].contains("output"))
     steps = F.coalesce(F.get(named, F.lit(0)).steps, F.get(outputs, F.lit(0)).steps)
     one = F.struct(F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))).cast(CELLS).alias("cells"), F.lit(1).alias("rows"), F.lit(1).alias("cols"))
     return F.when(steps.isNotNull(), decode_tokens(structure_tokens(steps))).otherwise(one)

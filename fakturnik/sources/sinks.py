@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +71,38 @@ def human_size(size: Column) -> Column:
     return F.when(size >= 10**9, unit(10**9, "GB")).when(size >= 10**6, unit(10**6, "MB")).when(size >= 1000, unit(1000, "KB")).otherwise(F.format_string("%dB", size))
 
 
-def write_each(results: DataFrame, folder: str, kind: str = "json") -> None:
-    """One folder per input file under ``folder``, named by its stem, with the invoice as JSON, CSV or text."""
-    out = results.filter("error IS NULL").withColumn("stem", file_stem(F.col("path")))
-    if kind == "csv":
-        out.select("stem", *csv_columns(F.col("invoice"), dates=True)).write.mode("overwrite").partitionBy("stem").csv(folder, header=True)
-    else:
-        value = json_text(F.col("invoice")) if kind == "json" else plain_text(F.col("invoice"))
-        out.select("stem", value.alias("value")).write.mode("overwrite").partitionBy("stem").text(folder)
+def failures(results: DataFrame) -> DataFrame:
+    """(filename, error) of the files that failed."""
+    return results.filter("error IS NOT NULL").select(F.element_at(F.split("path", "/"), -1).alias("filename"), "error")
+
+
+#: Names of the twelve columns.
+CSV_HEAD = "invoice_number,issue_date,sale_date,due_date,issuer_name,issuer_nip,receiver_name,receiver_nip,total_net,total_vat,total_gross,currency"
+
+
+def csv_line(invoice: Column) -> Column:
+    """The twelve columns as one line, cells with commas, quotes or line ends in quotes."""
+    cell = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.array_join(F.transform(F.array(*csv_columns(invoice, dates=True)), cell), ",", "")
+
+
+def write_each(results: DataFrame, folder: str, kind: str = "json") -> int:
+    """One file per input file in ``folder``: its stem with .json, .csv or .txt; gives their number.
+
+    The tasks write their own files through the file system of ``folder``, so no directory is made for a file
+    and no row passes the driver. Files of one stem in different folders would meet; the last one stands.
+    """
+    value = {"json": json_text, "csv": lambda i: F.concat(F.lit(CSV_HEAD + "\n"), csv_line(i), F.lit("\n")), "text": plain_text}[kind](F.col("invoice"))
+    ending = {"json": "json", "csv": "csv", "text": "txt"}[kind]
+    out = results.filter("error IS NULL").select(file_stem(F.col("path")).alias("stem"), value.alias("value"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for stem, text in zip(pdf["stem"], pdf["value"], strict=True):
+                with fs.open_output_stream(f"{base}/{stem}.{ending}") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    return out.mapInPandas(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

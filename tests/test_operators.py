@@ -240,8 +240,10 @@ def test_summary_and_sinks(spark, tmp_path):
     got = {r["filename"]: r for r in sinks.summary(rows).collect()}
     assert got["a.pdf"]["status"] == "success" and got["a.pdf"]["total_gross"] == "12.00" and got["b.pdf"]["invoice_number"] == ""
     assert sinks.counters(rows).first().asDict() == {"processed": 2, "successful": 1, "failed": 1}
-    sinks.write_each(rows, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).filter("stem = 'a'").count() == 1
+    assert sinks.failures(rows).collect() == [("b.pdf", "no text")]
+    for kind, ending, begin in (("json", "json", '{"header":'), ("csv", "csv", "invoice_number,"), ("text", "txt", "Invoice: F/1/2024")):
+        assert sinks.write_each(rows, str(tmp_path / kind), kind) == 1
+        assert [p.name for p in (tmp_path / kind).iterdir()] == [f"a.{ending}"] and (tmp_path / kind / f"a.{ending}").read_text().startswith(begin)
 
 
 def test_stream_equals_batch(spark, tmp_path):
