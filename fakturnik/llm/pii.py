@@ -3,8 +3,8 @@
 High-recall generators propose overlapping spans of five kinds (email, phone, id_number, address,
 person_name). Each span gets features of its format (digits, check digits, grouping, word endings) and of
 its context (words before and after, other spans that hold it). Trees trained on generated, labelled
-sentences (``examples``) give a calibrated chance; spans over the kind's threshold are selected, the
-surest first and without overlap, and replaced by a placeholder of their kind. Names with an unusual or
+sentences (``examples``) give a calibrated chance; spans over the kind's threshold, which is the one of
+least errors over further generated sentences, are selected, the surest first and without overlap, and replaced by a placeholder of their kind. Names with an unusual or
 wrongly decoded surname are judged by trees of their own and yield to the other spans.
 
 Defined cases: null texts stay null and hold nothing; empty texts stay empty; a span may run over a line
@@ -25,27 +25,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import boosting
 from .names import FIRST, FOLD, OTHER_FIRST
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-THRESHOLDS = dict.fromkeys(KINDS, 0.5)
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 UP, LOW = "A-ZĄĆĘŁŃÓŚŹŻ", "a-ząćęłńóśźż"
 LOCAL, HOST = r"[\w.+-]*\w", r"[\w-]+(?:\.[\w-]+)*"
 AT = r"(?:\s?@\s?|\s?[\(\[{]\s?(?:at|małpa|malpa)\s?[\)\]}]\s?|\s(?:at|małpa)\s)"
 DOT = r"(?:\s?\.\s?|\s?[\(\[{]\s?(?:kropka|dot|punkt)\s?[\)\]}]\s?|\s(?:kropka|dot)\s)"
-SURNAME = rf"[{UP}][\w@|]{{1,24}}?(?:[sScCzZ][kK](?:[iIaAąĄ]|ie[jJ]|IEJ|i[mM]|IM|iego|IEGO|iemu|IEMU)|[cC][zZ][aA][kK](?:a|A|owi|OWI|iem|em|IEM|EM|u|U)?|[wW][iI][cC][zZ](?:a|A|owi|OWI|em|EM|u|U)?)"
-WORD = rf"[{UP}][\w@|]{{2,24}}"
+SURNAME = rf"[{UP}][\w@|]+?(?:[sScCzZ][kK](?:[iIaAąĄ]|ie[jJ]|IEJ|i[mM]|IM|iego|IEGO|iemu|IEMU)|[cC][zZ][aA][kK](?:a|A|owi|OWI|iem|em|IEM|EM|u|U)?|[wW][iI][cC][zZ](?:a|A|owi|OWI|em|EM|u|U)?)"
+WORD = rf"[{UP}][\w@|]{{2,}}"
 #: A sign of a name, also one of the signs that a wrongly decoded letter leaves.
 SIGN = r"(?:[\w@|]|(?<=[ÃÄÅÂĂĹâ€])[^\s\w,;]|(?<=[ÃÄÅÂĂĹ])[\x80-\xa0]|[\x80-\x84\x86-\x9f¡£¥¦¬¯±¶¿�](?=\w))"
-ANY_NAME = rf"[{UP}ÃÄÅĂĹ]{SIGN}{{2,40}}"
+ANY_NAME = rf"[{UP}ÃÄÅĂĹ]{SIGN}{{2,}}"
 STREET = r"(?:[uU][lL]\.|[uU]lic[aąyę]|ULIC[AYĄĘ]|[aA][lL]\.|[aA]lej[aąię]|ALEJ[AI]|[aA]lei|[oO][sS]\.|[oO]siedl[eua]|OSIEDL[EUA]|[pP][lL]\.|[pP]lac(?:u|em)?|PLACU?)"
 HOUSE = r"\d{1,4}(?:\s?[A-Za-z](?![\w.]))?(?!\w)(?!\s?[/.:-]\s?\d+[/.:-]\d)(?![.:-]\d)(?:\s?(?:/|m\.|lok\.|mieszkanie|M\.|LOK\.|MIESZKANIE)\s?\d{1,4})?"
 GENERATORS = [
     ("email", re.compile(r"(?<![\w.])[\w.+-]*\w@[\w-]+(?:\.[\w-]+)+(?!\w)")),
-    ("email", re.compile(rf"(?<![\w.]){LOCAL}{AT}{HOST}(?:{DOT}[a-zA-Z]{{2,10}})?(?!\w)", re.I)),
+    ("email", re.compile(rf"(?<![\w.]){LOCAL}{AT}{HOST}(?:{DOT}[a-zA-Z]{{2,}})?(?!\w)", re.I)),
     ("phone", re.compile(r"(?<![\w/])(?:(?:\+|00)48[\s-]?|\(\+48\)\s?)?(?:\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}|\(?\d{2}\)?[\s.\-]?\d{3}[\s.\-]?\d{2}[\s.\-]?\d{2})(?![\w/])")),
     ("id_number", re.compile(r"(?<![\w/])\d{6}\s?\d{5}(?![\w/])")),
     ("id_number", re.compile(r"(?<![\w/])[A-Z]{3}\s?\d{6}(?![\w/])")),
@@ -271,6 +271,7 @@ Dostawa na plac budowy do godziny <n>.
 Spółka <firm> zmieniła formę prawną <date>.
 Firma <firm> prosi o duplikat faktury FV/<n>/2023.
 Towar odebrano w miejscowości <town> bez zastrzeżeń.
+Przyjęto w oddziale <town> bez uwag.
 Termin płatności upłynął <date>, saldo <money> zł.
 Magazyn czynny 7:00-15:30, kwota <money> zł @ 3 szt.
 Cena za sztukę @ <money> zł, rabat <n>%.""".split("\n")
@@ -307,6 +308,8 @@ def _person(r: random.Random, wide: bool = False) -> str:
     surname = _syllables(r, 2).capitalize() + r.choice(["ń", "r", "łow", ""]) + r.choice(endings)
     if wide and r.random() < 0.6:
         surname = _syllables(r, r.choice([1, 1, 2])).capitalize() + r.choice(["k", "ka", "kowi", "kiem", "s", "sa", "r", "rowi", "ń", "nia", "jcik", "jcika", "łek", "dt", "sz", "szowi", "ra", "rze", "ry"])
+    if wide and r.random() < 0.1:
+        surname += "-" + _syllables(r, 2).capitalize() + r.choice(["ska", "ski", "cka", "k", "czak"])
     first = r.choice(["Agnieszka", "Agnieszki", "Bartosz", "Bartosza", "Cezarym", "Dorocie", "Dorota", "Elżbietą", "Franciszka", "Grzegorzem", "Henryk", "Iwony", "Joanną", "Katarzyna", "Łukaszowi",
         "Małgorzaty", "Natalią", "Oldze", "Olga", "Pawła", "Robertem", "Stanisławowi", "Tadeusz", "Urszuli", "Wojciechem", "Zofię", "Małgorzata", "Elżbiecie", "Pawłem"])
     form = r.choice([f"{first} {surname}"] * 4 + [f"{surname} {first}"] * 2 + [f"{first[0]}. {surname}"] * 3 + [f"{first[0]}.{surname}", f"{first} {r.choice('ABEKMW')}. {surname}", f"{first} {surname}".upper(), f"{first}\n{surname}"])
@@ -333,7 +336,7 @@ def _phone(r: random.Random) -> str:
 
 
 def _mail(r: random.Random) -> str:
-    local, host, top = r.choice(["biuro", "faktury." + _syllables(r, 2), "jan_" + _syllables(r, 2) + "7", _syllables(r, 3)]), r.choice(["", "hurt-"]) + _syllables(r, 3), r.choice(["example", "test", "pl", "com.pl"])
+    local, host, top = r.choice(["biuro", "faktury." + _syllables(r, 2), "jan_" + _syllables(r, 2) + "7", _syllables(r, 3)]), r.choice(["", "hurt-"]) + _syllables(r, 3), r.choice(["example", "test", "pl", "com.pl", "invalid", "com", "eu", "org.pl", "de"])
     return r.choice([f"{local}@{host}.{top}"] * 3 + [f"{local} (at) {host} (kropka) {top}", f"{local}[małpa]{host}.{top}", f"{local} @ {host}.{top}", f"{local}(małpa){host}.{top}", f"{local} [at] {host} [dot] {top}"])
 
 
@@ -355,7 +358,7 @@ def _slot(name: str, r: random.Random, wide: bool = False) -> str:
     return {
         "NAME": lambda: _person(r, wide), "PHONE": lambda: _phone(r), "EMAIL": lambda: _mail(r), "PESEL": lambda: _pesel(r), "CARD": lambda: _card(r, 3), "PASS": lambda: _card(r, 2), "ADDRESS": lambda: _home(r),
         "date": lambda: r.choice([f"{r.randrange(1, 29):02d}.{r.randrange(1, 13):02d}.2023", f"2024-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", f"{r.randrange(1, 29)} maja 2022"]),
-        "n": lambda: str(r.randrange(1, 400)), "town": lambda: _syllables(r, 2).capitalize() + r.choice(["wo", "nica", "ów", "owice Dolne", "owice Małe"]), "code": lambda: f"{_digits(r, 2)}-{_digits(r, 3)}",
+        "n": lambda: str(r.randrange(1, 400)), "town": lambda: _syllables(r, 2).capitalize() + r.choice(["wo", "nica", "ów", "owice Dolne", "owice Małe", "niska Wola", "ska Góra"]), "code": lambda: f"{_digits(r, 2)}-{_digits(r, 3)}",
         "firm": lambda: _syllables(r, 3).capitalize() + r.choice([" Sp. z o.o.", " S.A.", " Tekstylia sp. k.", " Stal sp. j.", " s.c.", " Meble S.A."]),
         "nip": lambda: r.choice([nip, f"PL{nip}", f"{nip[:3]}-{nip[3:6]}-{nip[6:8]}-{nip[8:]}", f"{nip[:3]} {nip[3:6]} {nip[6:8]} {nip[8:]}"]), "regon": lambda: _digits(r, 9),
         "order": lambda: r.choice("5678") + _digits(r, 8), "parcel": lambda: _digits(r, 11) if r.random() < 0.6 else _pesel(r).replace(" ", ""),
@@ -402,6 +405,7 @@ class Trees:
 
     usual: boosting.Boosted
     wide: boosting.Boosted
+    limits: tuple[tuple[float, float], ...] = ((0.5, 0.5),) * len(KINDS)  # by kind, for the usual trees and the others
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         out, wide = np.zeros(len(x)), x[:, -1] == 1
@@ -411,12 +415,40 @@ class Trees:
         return out
 
 
+    def limit(self, kind: str, wide: float) -> float:
+        return self.limits[KINDS.index(kind)][int(wide)]
+
+
+#: Generated paragraphs on which the thresholds are chosen, and those on which the test measures.
+CHOOSING, MEASURING = 21, 99
+
+
+def least_errors(chance: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of least errors, the nearest to one half of equals."""
+    options = np.round(np.arange(0.2, 0.81, 0.02), 2)
+    errors = np.array([((chance > o) != (y > 0.5)).sum() for o in options])
+    return float(min(zip(errors, np.abs(options - 0.5), options, strict=True))[2])
+
+
+def calibrated(trees: Trees, count: int = 1_500) -> Trees:
+    """The trees with the threshold of each kind."""
+    limits = [[0.5, 0.5] for _ in KINDS]
+    for wide in (0, 1):
+        x, y = examples(count, CHOOSING, wide=bool(wide))
+        chance = trees.chance(x)
+        for k in range(len(KINDS)):
+            own = (x[:, k] == 1) & (x[:, -1] == wide)
+            if own.any():
+                limits[k][wide] = least_errors(chance[own], y[own])
+    return Trees(trees.usual, trees.wide, tuple(map(tuple, limits)))
+
+
 @lru_cache(maxsize=1)
 def model() -> Trees:
     x, y = examples()
     wide_x, wide_y = examples(wide=True)
     own = wide_x[:, -1] == 1
-    return Trees(boosting.fit(x[:, :-OWN], y, trees=70), boosting.fit(wide_x[own], wide_y[own], trees=70))
+    return calibrated(Trees(boosting.fit(x[:, :-OWN], y, trees=70), boosting.fit(wide_x[own], wide_y[own], trees=70)))
 
 
 def select(text: str | None, trees: Trees) -> list[tuple[str, int, int]]:
@@ -447,7 +479,7 @@ def _selected(waiting: list[list[tuple[str, int, int]]], rows: list[np.ndarray],
     x = np.concatenate(rows) if rows else np.zeros((0, 1))
     chances = iter(zip(x[:, -1].tolist(), trees.chance(x).tolist() if rows else [], strict=True))
     for spans in waiting:
-        order = sorted((wide, -c, -(s[2] - s[1]), s) for s, (wide, c) in zip(spans, chances, strict=False) if c > THRESHOLDS[s[0]])
+        order = sorted((wide, -c, -(s[2] - s[1]), s) for s, (wide, c) in zip(spans, chances, strict=False) if c > trees.limit(s[0], wide))
         taken: list[tuple[str, int, int]] = []
         for *_, span in order:
             if all(span[2] <= s or e <= span[1] for _, s, e in taken):
@@ -484,7 +516,7 @@ def redact(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
                 kinds.append(list(dict.fromkeys(k for k, _, _ in spans)))
             yield pdf[key].assign(text=texts, kinds=kinds)
 
-    return rows.select(*key, F.col(text)).distinct().mapInPandas(run, schema)
+    return spread(rows.select(*key, F.col(text))).mapInPandas(run, schema)
 
 
 def found(pages: DataFrame, results: DataFrame) -> DataFrame:

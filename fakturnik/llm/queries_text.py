@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.records(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "extract_results"))
-    return pii.redact(rows, ["doc_id", "number"]).select("doc_id", "number", "text")
+    return pii.redact(rows, ["doc_id", "number"]).select("doc_id", "number", "text").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

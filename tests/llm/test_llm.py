@@ -123,6 +123,30 @@ def test_every_surname_is_judged(name):
     assert pii.redacted(text, pii.select(text, pii.model())) == "Rozmowę z [PERSON_NAME] odnotowano w karcie."
 
 
+def test_recall_and_precision_of_held_out_spans():
+    """Per kind over the thresholds chosen on other paragraphs; the sentences are the module's own, so this says little of other text."""
+    model = pii.model()
+    for wide in (0, 1):
+        x, y = pii.examples(600, pii.MEASURING, wide=bool(wide))
+        chance = model.chance(x)
+        for k, kind in enumerate(pii.KINDS):
+            own = (x[:, k] == 1) & (x[:, -1] == wide)
+            if own.sum() > 50:
+                hit, true = chance[own] > model.limit(kind, wide), y[own] > 0.5
+                assert (hit & true).sum() / true.sum() > 0.8 and (hit & true).sum() / hit.sum() > 0.85, kind
+    assert pii.least_errors(np.array([0.3, 0.55, 0.9]), np.array([0, 0, 1])) == 0.56
+
+
+@pytest.mark.parametrize("text", ["Towar odebrano w miejscowości Klonowiska Wola bez zastrzeżeń", "Przyjęto w oddziale Dębiniska Wola"])
+def test_towns_are_no_people(text):
+    assert pii.select(text, pii.model()) == []
+
+
+def test_long_words_are_candidates():
+    surname = "Brzęczyszczykiewiczowskopodlasieckiewicz"
+    assert ("person_name", 0, 5 + len(surname)) in pii.candidates(f"Anna {surname}") and ("address", 0, 4 + len(surname) + 2) in pii.candidates(f"ul. {surname} 7")
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, 1, "tel. 691-922-059 i dalej", "a"), (1, 1, "tel. 691-922-059 i dalej", "a"), (2, 1, None, "b"), (3, 1, "x " * 20000 + "biuro@a.example", "c")], "doc_id bigint, number int, text string, kinds string")
     got = {r["doc_id"]: r for r in pii.redact(rows, ["doc_id", "number"]).collect()}
