@@ -1,21 +1,24 @@
 """Noise in text from scanned pages: furniture, words cut at line ends and misread characters.
 
-* Furniture: lines are judged by their place on the page (first, last, page number, repetition on the
-  other pages of the document); running headings and page numbers leave the text.
-* Cut words: the last word of a line and the first of the next are joined when a mark stands between them,
-  or when neither part alone but only the whole is a word of the corpus; a compound that the corpus writes
-  with a hyphen keeps it.
-* Misread characters: an averaged-perceptron editor reads a word sign by sign and predicts keep, replace,
-  delete or insert. It is trained on frequent words of the corpus itself, garbled by the usual confusions
-  of recognition. Its best edit sequences are proposals; a proposal is accepted when the corpus has it far
-  more often than the word as read, or when the word holds signs that no word holds.
+* Furniture: lines are judged by their place on the page (first, last, page number, repetition as first
+  line of the other pages of the document); running headings and page numbers leave the text.
+* Editor: an averaged perceptron reads a text sign by sign and predicts keep, replace, delete, insert (a sign
+  behind the one that is kept) or, at a line end, join. It is trained on frequent words of the corpus itself,
+  garbled by the usual confusions of recognition, with signs lost, and cut at line ends.
+* Cut words: the editor proposes the line ends at which a join is not ruled out (its limit keeps all but JOINS_LOST
+  of the cuts that it has not seen in training); the proposal is accepted when a mark stands there, or when neither part alone
+  but only the whole is a word of the corpus; a compound that the corpus writes with a hyphen keeps it.
+* Misread characters: the editor's best edit sequence and all sequences of up to three of the usual edits,
+  ranked by it, are proposals; a proposal is accepted when the corpus has it far more often than the word
+  as read. A word that holds signs that no word holds becomes the editor's best sequence without them.
 
 Counts cover every word of every record, taken inside lines, so that cut parts do not count as words.
 Words are edited once per distinct form; counts are joined, not collected.
 
 Defined cases: null and empty texts have no lines and no case; repeated records count once; words of
-one or two letters and numbers are never edited; lines of tables are left alone; a single-page document
-has a heading only if its first line looks like one of the usual headings; a page without lines is kept
+one or two letters and numbers are never edited; words of over LONG_WORD signs take single edits and the
+editor's best sequence; lines of tables are left alone; a single-page document has a heading only if its
+first line looks like one of the usual headings; a page without lines is kept
 empty; further columns are ignored.
 """
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut
 from .names import FOLD, distance
 
 #: What recognition makes of letters (right, read); the noise that the editor is trained on.
@@ -43,6 +46,13 @@ CONFUSIONS = [
 ]
 #: Frequent words that the editor is trained on at most.
 TRAINING_WORDS = 1_500
+#: Share of true cuts that the editor's limit for line ends may lose, on cuts that it was not trained on.
+JOINS_LOST = 0.0005
+LINE_END = "\n"
+#: Signs from which sequences of several edits are only the editor's best one.
+LONG_WORD = 40
+#: Words that one task of the editor takes, about.
+EDITED = 2_000
 #: Proposals that a worker holds at a time, about.
 PROPOSED = 10_000
 MARKS = "-¬‐­=‑"
@@ -50,7 +60,7 @@ LETTERS = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźżäöüßé"
 #: The usual tails of running headings (folded).
 TAILS = ("umowa dostawy", "ogolne warunki sprzedazy", "karta gwarancyjna", "rozliczenie roczne", "dokumentacja zlecenia")
 PAGE_NUMBER = re.compile(r"^\W*(?:(?:str(?:ona|\.)?|s\.?|page|seite|p\.)\W*)?(\d{1,4}|[lIiOo|])\W*(?:(?:z|/|of|von)\W*(?:\d{1,4}|[lIiOo|])\W*)?$", re.I)
-HEADING = re.compile(r"^(.{2,70}?)\s*(\||–|—|-|,)\s*([^|,]{4,45}?)(\s{2,}\S{1,3})?$")
+HEADING = re.compile(r"^(.{2,}?)\s*(\||–|—|-|,)\s*([^|,]{4,}?)(\s{2,}\S{1,3})?$")
 SOURCE = "record_table string, doc_id bigint, pages array<struct<page:int,lines:array<struct<item:int,text:string>>>>"
 
 
@@ -63,6 +73,7 @@ class Editor:
     def __init__(self):
         self.w: dict[tuple[str, str], float] = defaultdict(float)
         self.options: dict[str, set[str]] = defaultdict(set)
+        self.join_limit = float("-inf")
 
     @staticmethod
     def features(word: str, i: int) -> list[str]:
@@ -70,6 +81,15 @@ class Editor:
         c = at(i)
         return [f"0{c}", f"1{at(i - 1)}{c}", f"2{c}{at(i + 1)}", f"3{at(i - 1)}{c}{at(i + 1)}", f"4{at(i - 2)}{at(i - 1)}{c}", f"5{c}{at(i + 1)}{at(i + 2)}"]
 
+    def state(self) -> tuple:
+        return dict(self.w), {k: set(v) for k, v in self.options.items()}, self.join_limit
+
+    @classmethod
+    def of(cls, state: tuple) -> Editor:
+        out = cls()
+        out.w, out.options, out.join_limit = state
+        return out
+
     def rank(self, word: str, i: int) -> list[tuple[float, str]]:
         fs = self.features(word, i)
         return sorted(((sum(self.w.get((f, y), 0.0) for f in fs), y) for y in self.options.get(word[i], {""}) | {""}), reverse=True)
@@ -94,6 +114,12 @@ class Editor:
         self.w = {k: v - total[k] / max(1, step) for k, v in self.w.items() if v or total[k]}
         return self
 
+    def join_margin(self, a: str, mark: str, b: str) -> float:
+        """How much better a join scores at the line end between two parts than a line end that stays."""
+        text, at = a + mark + LINE_END + b, len(a) + len(mark)
+        scores = {y: s for s, y in self.rank(text, at)}
+        return scores.get("\0", 0.0) - scores.get("", 0.0)
+
     def proposals(self, word: str, most: int = 3) -> list[str]:
         """Words that edit sequences make of the word, the likeliest first.
 
@@ -103,6 +129,7 @@ class Editor:
         ranks = [dict((y, s) for s, y in self.rank(word, i)) for i in range(len(word))]
         best = [max(r, key=lambda y: (r[y], y == "")) for r in ranks]
         out = dict.fromkeys(["".join(c if y == "" else "" if y == "\0" else y for c, y in zip(word, best, strict=True))])
+        most = most if len(word) <= LONG_WORD else 1
         edits = []
         for right, read in CONFUSIONS:
             at = word.find(read)
@@ -132,6 +159,9 @@ def garble(word: str, r: random.Random, rate: float) -> tuple[str, list[str]]:
             out += read
             labels += [right, *["\0"] * (len(read) - 1)]
             i += len(right)
+        elif out and labels[-1] == "" and r.random() < rate / 20:  # a lost sign: the one before it inserts it
+            labels[-1] = out[-1] + word[i]
+            i += 1
         else:
             out += word[i]
             labels.append("")
@@ -139,14 +169,34 @@ def garble(word: str, r: random.Random, rate: float) -> tuple[str, list[str]]:
     return out, labels
 
 
+def broken(word: str, r: random.Random) -> tuple[str, str, str]:
+    """A word cut at a line end: first part, mark or none, second part."""
+    at = r.randrange(2, len(word) - 1)
+    return word[:at], r.choice(["", "", "-", "-", *MARKS]), word[at:]
+
+
 def train(words: list[str], seed: int = 5) -> Editor:
     r = random.Random(seed)
-    pairs = []
-    for w in words:
+    pairs, held = [], []
+    for k, w in enumerate(words):
         pairs.append((w, [""] * len(w)))
         pairs += [garble(w, r, 0.12) for _ in range(2)] + [garble(w, r, 0.3)]
+        if len(w) < 4:
+            continue
+        cuts = [broken(w, r) for _ in range(3)]
+        if k % 5 == 4:
+            held += cuts
+            continue
+        for a, mark, b in cuts:
+            pairs.append((a + mark + LINE_END + b, [""] * len(a) + ["\0"] * (len(mark) + 1) + [""] * len(b)))
+            other = r.choice(words)
+            pairs.append((w + LINE_END + other, [""] * (len(w) + 1 + len(other))))
     r.shuffle(pairs)
-    return Editor().fit(pairs)
+    editor = Editor().fit(pairs)
+    margins = sorted(editor.join_margin(*c) for c in held)
+    if margins:
+        editor.join_limit = margins[int(len(margins) * JOINS_LOST)] - 1e-9
+    return editor
 
 
 # --- Pages and lines -----------------------------------------------------------------------------------
@@ -179,6 +229,14 @@ def furniture(pages: list[tuple[int, list[str]]]) -> list[set[int]]:
     """
     tops = [next(((i, t) for i, t in enumerate(lines) if t.strip()), (-1, "")) for _, lines in pages]
     folded = [_fold(re.sub(r"\s{2,}\S{1,3}$", "", t.strip())) for _, t in tops]
+    often = {f: sum(g == f for g in folded) for f in set(folded) if f} if len(folded) > 1 else {}
+    common = [f for f, n in often.items() if n > 1]
+
+    def repeats(p: int) -> bool:
+        """Whether the first line of a page is also that of a page close by, or one with which several pages begin."""
+        near = [folded[q] for q in range(max(0, p - 3), min(len(pages), p + 4)) if q != p and folded[q]]
+        return often.get(folded[p], 0) > 1 or any(distance(folded[p], f, 5) <= 5 for f in [*near, *common])
+
     out = []
     for p, (page, lines) in enumerate(pages):
         found: set[int] = set()
@@ -187,12 +245,14 @@ def furniture(pages: list[tuple[int, list[str]]]) -> list[set[int]]:
         if m and top.count("|") < 2 and ":" not in top:
             tail = _fold(m[3])
             usual = any(abs(len(tail) - len(_fold(u))) <= 4 and distance(tail, _fold(u), 4) <= 4 for u in TAILS)
-            again = any(q != p and folded[q] and distance(folded[p][:60], folded[q][:60], 5) <= 5 for q in range(len(pages)) if abs(q - p) <= 3)
+            again = repeats(p)
             numbered = bool(m[4])
             if usual or again or (numbered and m[2] in "|–—"):
                 found.add(at)
         elif at >= 0 and len(pages) > 1 and PAGE_NUMBER.match(top.strip()) and not top.strip().isdigit():
             found.add(at)
+        elif at >= 0 and ":" not in top and top.count("|") < 2 and len(folded[p]) >= 8 and often.get(folded[p], 0) >= max(3, len(pages) / 2) and repeats(p):
+            found.add(at)  # no sign parts it, but most pages begin with it
         filled = [i for i, t in enumerate(lines) if t.strip()]
         if len(filled) > 1 and (n := PAGE_NUMBER.match(lines[filled[-1]].strip())):
             bare = lines[filled[-1]].strip().isdigit()
@@ -208,7 +268,7 @@ MIXED = re.compile(rf"[{LETTERS}]")
 
 def core(word: str) -> str:
     """The word without the punctuation around it; empty if it is no word to judge."""
-    if len(word) > 40 or re.search(r"https?:|www\.|\.(?:test|example|invalid|pl|com)\b|\S@\S+\.\S", word):
+    if re.search(r"https?:|www\.|\.(?:test|example|invalid|pl|com)\b|\S@\S+\.\S", word):
         return ""
     c = CORE.match(word)[1]
     letters = len(MIXED.findall(c))
@@ -290,16 +350,21 @@ def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["core", "a", "mark", "b", "pa", "pmark", "pb"])], axis=1)
 
 
-def edits(counts: DataFrame) -> DataFrame:
-    """(word, fixed): misread words with what they most likely are."""
+ODD = rf"[{LETTERS}][0-9@†|][{LETTERS}]|^[0-9@†|][{LETTERS}]{{2,}}|[{LETTERS}]{{2,}}[0-9@†|]$|[†@]|[{LETTERS}][0-9]{{1,2}}[{LETTERS}]"
+
+
+def learnt(counts: DataFrame) -> Editor:
+    """The editor trained on the commonest words, at most TRAINING_WORDS."""
     sample = counts.filter(F.col("word").rlike(rf"^[{LETTERS}]{{3,}}$")).orderBy(F.desc("n"), "word").limit(TRAINING_WORDS)
-    frequent = [r["word"] for r in sample.filter("n >= 3").collect()]
-    editor = train(frequent)
-    sent = counts.sparkSession.sparkContext.broadcast((dict(editor.w), dict(editor.options)))
+    return train([r["word"] for r in sample.filter("n >= 3").collect()])
+
+
+def edits(counts: DataFrame, editor: Editor) -> DataFrame:
+    """(word, fixed): misread words with what they most likely are."""
+    sent = counts.sparkSession.sparkContext.broadcast(editor.state())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Editor()
-        mine.w, mine.options = sent.value
+        mine = Editor.of(sent.value)
         for pdf in batches:
             out: list[tuple] = []
             for word, n in zip(pdf["word"], pdf["n"], strict=True):
@@ -309,28 +374,50 @@ def edits(counts: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=["word", "n", "fixed", "rank"])
 
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, odd = Editor.of(sent.value), re.compile(ODD)
+        for pdf in batches:
+            rows = [(w, next((f for f in mine.proposals(w) if not odd.search(f)), None)) for w in pdf["word"]]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["word", "fixed"])
+
     # A word is judged in the case it has and, when it begins a sentence, as the small word too.
     rare = counts.filter(F.length("word") >= 3)
-    proposed = spread(rare).mapInPandas(run, "word string, n bigint, fixed string, rank int")
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    tasks = max(2 * cores, counts.count() // EDITED)
+    proposed = rare.repartition(tasks, "word").mapInPandas(run, "word string, n bigint, fixed string, rank int")
     low = counts.groupBy(F.lower("word").alias("low")).agg(F.sum("n").alias("m"))
     met = proposed.join(low, F.lower("fixed") == F.col("low")).filter("m >= 4 AND m >= 12 * n")
     own = counts.groupBy(F.lower("word").alias("own")).agg(F.sum("n").alias("seen"))
     met = met.join(own, F.lower("word") == F.col("own")).filter("m >= 12 * seen")
-    return met.groupBy("word").agg(F.max_by("fixed", F.struct("m", -F.col("rank"))).alias("fixed"))
+    known = cut(met.groupBy("word").agg(F.max_by("fixed", F.struct("m", -F.col("rank"))).alias("fixed")), "scan-known")
+    odd = rare.filter(F.col("word").rlike(ODD)).join(known, "word", "left_anti").select("word")
+    return known.unionByName(odd.repartition(cores, "word").mapInPandas(best, "word string, fixed string"))
 
 
-ODD = rf"[{LETTERS}][0-9@†|][{LETTERS}]|^[0-9@†|][{LETTERS}]{{2,}}|[{LETTERS}]{{2,}}[0-9@†|]$|[†@]|[{LETTERS}][0-9]{{1,2}}[{LETTERS}]"
+def proposed_joins(pairs: DataFrame, editor: Editor) -> DataFrame:
+    """The line ends (a, mark, b) at which the editor does not rule out a join."""
+    sent = pairs.sparkSession.sparkContext.broadcast(editor.state())
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = Editor.of(sent.value)
+        for pdf in batches:
+            yield pdf[[mine.join_margin(a, m, b) >= mine.join_limit for a, m, b in zip(pdf["a"], pdf["mark"], pdf["b"], strict=True)]]
+
+    return pairs.mapInPandas(run, "a string, mark string, b string")
 
-def analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tokens with their forms, misread words with fixes, line ends that cut a word)."""
+
+
+def analysed(docs: DataFrame, places: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens with their forms, misread words with fixes, line ends that cut a word); without ``places`` the tokens have no place in the line."""
     schema = TOKENS + ", core string, a string, mark string, b string, pa string, pmark string, pb string"
-    words = cut(tokens(docs).mapInPandas(_cores, schema), "scan-words")
+    words = tokens(docs).mapInPandas(_cores, schema).drop("word", "next", "prev")
+    words = cut(words if places else words.drop("page", "line", "at"), "scan-words")
     inside = words.filter("place = 'in' AND core <> ''").groupBy(F.col("core").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     inside = cut(inside, "scan-inside")
     low = inside.groupBy(F.lower("word").alias("w")).agg(F.sum("n").alias("n"))
     ends = words.filter("a <> '' AND b <> ''")
-    pairs = ends.select("a", "b", "mark").distinct()
+    editor = learnt(inside)
+    pairs = proposed_joins(ends.select("a", "mark", "b").distinct(), editor)
     for name, form in (("whole", F.concat("a", "b")), ("compound", F.concat_ws("-", "a", "b")), ("left", F.col("a")), ("right", F.col("b"))):
         pairs = pairs.join(low.select(F.col("w").alias(f"w_{name}"), F.col("n").alias(name)), F.lower(form) == F.col(f"w_{name}"), "left").drop(f"w_{name}")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -345,12 +432,9 @@ def analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     after = cuts.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("mark").alias("pmark"), F.lit(True).alias("cut_by"))
     here = here.join(after, ["pa", "pb", "pmark"], "left")
     judged = F.when(F.col("cuts"), F.concat("a", "b")).when(F.col("cut_by"), F.lit("")).otherwise(F.col("core"))
-    words = cut(here.withColumn("judged", judged).withColumn("joins", F.coalesce("cuts", F.lit(False))).drop("cuts", "cut_by"), "scan-judged")
+    words = cut(here.withColumn("judged", judged).withColumn("joins", F.coalesce("cuts", F.lit(False))).drop("cuts", "cut_by", "core", "mark", "pa", "pmark", "pb", "place"), "scan-judged")
     anywhere = cut(words.filter("judged <> ''").groupBy(F.col("judged").alias("word")).agg(F.count(F.lit(1)).alias("n")), "scan-counts")
-    fixes = edits(anywhere)
-    odd = anywhere.filter(F.col("word").rlike(ODD)).select("word")
-    fixes = cut(odd.join(fixes, "word", "full").select("word", F.coalesce("fixed", "word").alias("fixed")), "scan-fixes")
-    return words, fixes, cuts
+    return words, cut(edits(anywhere, editor), "scan-fixes"), cuts
 
 
 def _compound_part(a):
@@ -360,11 +444,11 @@ def _compound_part(a):
 
 def found(ocr: DataFrame, boxes: DataFrame, results: DataFrame) -> DataFrame:
     docs = cut(documents(ocr, boxes, results), "scan-docs")
-    words, fixes, cuts = analysed(docs)
+    words, fixes, cuts = analysed(docs, places=False)
     key = ["record_table", "doc_id", "item"]
     bad = words.filter("judged <> ''").join(fixes.withColumnRenamed("word", "judged"), "judged")
     # In a cut word the half that changes holds the misread sign.
-    whole_first = F.substring("fixed", 1, 400).startswith(F.col("a")) & (F.col("fixed") != F.col("judged"))
+    whole_first = F.col("fixed").startswith(F.col("a")) & (F.col("fixed") != F.col("judged"))
     item = F.when(F.col("joins") & whole_first, F.col("next_item")).otherwise(F.col("item"))
     misread = bad.select("record_table", "doc_id", item.alias("item"), F.lit("misread").alias("kind"))
     hyphen = words.filter("joins").select(*key, F.lit("hyphenation").alias("kind"))

@@ -163,6 +163,30 @@ def test_furniture_by_place():
     assert got == [{0, 4}, {0, 4}, set()]
 
 
+def test_furniture_without_a_sign_and_far_apart():
+    text = ["Tekst pierwszy akapit", "Razem: 5"]
+    pages = [(i, ["Raport kwartalny Beta", *text] if i % 2 else [f"Akapit {chr(96 + i)} bez nagłówka", *text]) for i in range(1, 6)]
+    assert scan_noise.furniture(pages) == [{0} if i % 2 else set() for i in range(1, 6)]
+    heading = "Spółdzielnia Pracy Wielobranżowa Konstantynopolitańczykowianeczka i Wspólnicy | rozliczenie kwartalne"
+    far = [(i, [heading if i in (1, 9) else f"Akapit {chr(96 + i)}", *text]) for i in range(1, 10)]
+    assert [i for i, gone in enumerate(scan_noise.furniture(far), 1) if 0 in gone] == [1, 9]
+    assert scan_noise.furniture([(1, ["Zamówienie numer", *text]), (2, ["Zestawienie zbiorcze", *text])]) == [set(), set()]
+
+
+def test_editor_joins_and_inserts():
+    words = ["sprawdzono", "rozliczono", "dokumentacja", "zestawienie", "przekazano", "magazynie", "potwierdzenie", "zakończono", "uzupełniono", "dostarczono", "opłat", "nie"] * 3
+    editor = scan_noise.train(words)
+    assert all(editor.join_margin(*c) >= editor.join_limit for c in (("spraw", "-", "dzono"), ("rozli", "", "czono"), ("zesta", "¬", "wienie")))
+    assert editor.join_margin("spraw", "-", "dzono") > editor.join_margin("nie", "", "Opłat")
+    assert any(len(y) == 2 and y[0] == c for c, ys in editor.options.items() for y in ys)  # a sign kept with one inserted behind it
+
+
+def test_long_words_are_edited():
+    word = "konstantynopolitanczykowianeczkaprzedsiebiorstwo"
+    editor = scan_noise.train([word])
+    assert word in editor.proposals(word.replace("m", "rn", 1) if "m" in word else word.replace("d", "cl", 1)) and scan_noise.core(word + "x" * 60) != ""
+
+
 def test_every_edit_is_proposed():
     editor, word = scan_noise.train(["uzgodniono", "rozdzielczą"]), "uzgoclniono"
     singles = {word[:at] + right + word[at + len(read) :] for right, read in scan_noise.CONFUSIONS for at in range(len(word)) if word.startswith(read, at)}
@@ -181,6 +205,7 @@ def test_scan_cases(spark):
     got = {(r["record_table"], r["doc_id"], r["kind"]) for r in scan_noise.found(o, b, e).collect()}
     assert {("ocr_results", 50, "hyphenation"), ("extract_results", 50, "hyphenation"), ("ocr_results", 51, "misread")} <= got
     assert not any(d in (52, 53, 54) or d < 30 for _, d, _ in got)
+    assert {("ocr_results", 51, 1, "misread")} <= {tuple(r) for r in scan_noise.found(o, b, e).select("record_table", "doc_id", "item", "kind").collect()}
     text = {(r["record_table"], r["doc_id"]): r["text"] for r in scan_noise.repaired(o, b, e).collect()}
     assert text["ocr_results", 50].startswith("Ponownie sprawdzono zaległą notę bez dodatkowych opłat")
     assert "dziale" in text["ocr_results", 51]
