@@ -8,7 +8,8 @@ shards of bounded size, and each shard is packed by itself: one task holds at mo
 the size of the corpus, and each shard leaves at most a few containers partly filled.
 
 Defined cases: null and empty texts have no tokens and no container (container_id null, tokens 0); a
-repeated row is an item of its own only if its doc_id differs (rows are distinct by doc_id); ties in
+repeated row is an item of its own only if its doc_id differs (of several texts of one doc_id the largest
+size counts); more than KINDS kinds of container are refused; ties in
 length go by doc_id and piece; no rows or no containers give an empty result; further columns are ignored.
 """
 
@@ -22,17 +23,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .encode import token_counts
 
 #: Items that one shard holds on average.
 SHARD_ITEMS = 20_000
 
 
-def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+#: Kinds of container at most; each multiplies the items.
+KINDS = 100
+
+
+def kinds_of(containers: DataFrame) -> list[tuple[str, int]]:
+    rows = containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0").distinct().limit(KINDS + 1).collect()
+    if len(rows) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of container")
+    return sorted((r["container_kind"], r["capacity"]) for r in rows)
+
+
+def pieces(sizes: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """One row per container kind and piece: container_kind, capacity, doc_id, piece, start, tokens."""
-    kinds = F.broadcast(containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0").distinct())
-    each = sizes.join(kinds)  # every document is packed once for each kind; the kinds are a fixed handful
+    options = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds]) if kinds else F.array().cast("array<struct<container_kind:string,capacity:int>>")
+    each = sizes.select("*", F.inline(options))  # every document is packed once for each kind
     count = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")).cast("int"))
     out = each.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     start = F.col("piece") * F.col("capacity")
@@ -66,8 +78,9 @@ def fill(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, container_id, doc_id, piece, start, tokens): every piece with its container."""
-    items = cut(pieces(sizes, containers), "pieces")
-    shards = max(1, math.ceil(items.count() / (3 * SHARD_ITEMS)))
+    kinds = kinds_of(containers)
+    items = cut(pieces(sizes, kinds), "pieces")
+    shards = max(1, math.ceil(items.count() / (max(1, len(kinds)) * SHARD_ITEMS)))
     empty = items.filter("tokens = 0").select("container_kind", F.lit(None).cast("string").alias("container_id"), "doc_id", "piece", "start", "tokens")
     full = items.filter("tokens = capacity").select(
         "container_kind", F.concat_ws("-", F.lit("full"), F.col("doc_id"), F.col("piece")).alias("container_id"), "doc_id", "piece", "start", "tokens"
@@ -85,13 +98,14 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 
 
 def pack_texts(documents: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:
-    sizes = token_counts(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), path=path)
-    return pack(sizes, containers)
+    # Texts are measured where they stand; repeated rows meet as sizes.
+    sizes = token_counts(spread(documents.select("doc_id", "text")), path=path)
+    return pack(sizes.groupBy("doc_id").agg(F.max("tokens").alias("tokens")), containers)
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container kind: containers, items, tokens and the share of the room that is used."""
     each = packed.filter("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("i"))
     out = each.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    kinds = F.broadcast(containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).distinct())
-    return out.join(kinds, "container_kind").withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
+    capacity = F.coalesce(*[F.when(F.col("container_kind") == k, F.lit(c)) for k, c in kinds_of(containers)], F.lit(None).cast("int"))
+    return out.withColumn("capacity", capacity).withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))

@@ -343,7 +343,13 @@ def test_packing(spark):
         assert own.groupby("doc_id").tokens.sum().to_dict() == dict(sizes)
         for doc, n in sizes:
             assert (own.doc_id == doc).sum() == max(1, -(-n // capacity))
-    assert packing.pack(df.limit(0), kinds).count() == 0
+    assert packing.pack(df.limit(0), kinds).count() == 0 and packing.pack(df, kinds.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="kinds"):
+        packing.pack(df, spark.range(packing.KINDS + 1).selectExpr("cast(id as string) container_kind", "cast(id + 1 as int) capacity_tokens"))
+    texts = spark.createDataFrame([(1, "Ala ma kota"), (1, "Ala ma kota"), (2, None), (3, "")], "doc_id bigint, text string")
+    one = packing.pack_texts(texts, kinds.limit(1)).collect()
+    assert sorted((r["doc_id"], r["container_id"] is None) for r in one) == [(1, False), (2, True), (3, True)]
+    assert packing.fill_report(packing.pack_texts(texts, kinds), kinds).count() == 2
 
 
 # --- abusive passages ---------------------------------------------------------------------------------
