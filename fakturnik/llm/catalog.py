@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["queries_tokens", "queries_text", "queries_links"]
+from . import queries_links, queries_text, queries_tokens
 
-
-def _modules() -> list:
-    return [importlib.import_module(f"{__package__}.{m}") for m in _MODULES]
+# Imported here, so that whoever imports the catalog learns at once whether all of it can be used.
+_MODULES = [queries_tokens, queries_text, queries_links]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
