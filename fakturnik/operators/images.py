@@ -13,7 +13,7 @@ from ..runtime import cut
 def resized(width: Column, height: Column, target: int) -> Column:
     """struct<w, h>: unchanged up to the target, else scaled to it, cut to whole pixels, one at least."""
     longest = F.greatest(width, height)
-    scale = F.lit(float(target)).cast("float") / longest.cast("float")
+    scale = (F.lit(float(target)) / longest.cast("double")).cast("float")  # single precision, as the sizes are cut by it
     side = lambda v: F.when(longest <= target, v).otherwise(F.greatest((v.cast("float") * scale).cast("float").cast("int"), F.lit(1)))
     return F.struct(side(width).cast("int").alias("w"), side(height).cast("int").alias("h"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, pages, quality
+from . import extraction, pages, quality, sql
 
 _MODULES = [quality, extraction, pages]
 
@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    return {k: v for m in [*_MODULES, sql] for k, v in m.ORACLES.items()}
