@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, pages, quality, sql
+from . import extraction, pages, quality, singles, sql
 
-_MODULES = [quality, extraction, pages]
+_MODULES = [quality, extraction, pages, singles]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
