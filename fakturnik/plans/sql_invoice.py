@@ -67,10 +67,18 @@ SELECT doc_id, coalesce(number, 'UNKNOWN') AS invoice_number, strftime(coalesce(
 def _oracles() -> dict[str, str]:
     from .extraction import ORACLES as extraction
 
+    whole = records(extraction["nip_matches"])
     return {
         "line_items": f"""WITH src AS (SELECT DISTINCT doc_id, number, text FROM pdf_pages), {_items('src', 'doc_id, number')}
 SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id, number ORDER BY k) - 1 AS at, description, ordinal, rate AS vat_rate, gross FROM item""",
-        "invoice_records": records(extraction["nip_matches"]),
+        "line_parse": f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t FROM pdf_pages WHERE text IS NOT NULL), x AS (SELECT t, {_AMOUNTS} AS a FROM l),
+y AS (SELECT a, len(a) > 0 AND (len(string_split_regex(t, '[|\\t]')) >= 3 OR len(list_filter(string_split_regex(t, '[\\s\\x0b\\p{{Z}}\\x{{0085}}]+'), lambda w: w <> '')) >= 4) AS is_item FROM x)
+SELECT is_item, count(*) AS lines, CAST(sum(CASE WHEN is_item THEN {_grosze('a[len(a)]')} END) AS BIGINT) AS gross FROM y GROUP BY is_item""",
+        "invoice_records": whole,
+        "batch_summary": f"""WITH r AS ({whole}), d AS (SELECT doc_id, text IS NOT NULL AS ok FROM documents)
+SELECT 'doc' || d.doc_id || '.pdf' AS filename, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, CASE WHEN ok THEN invoice_number ELSE '' END AS invoice_number, CASE WHEN ok THEN issue_date ELSE '' END AS issue_date,
+  CASE WHEN ok THEN issuer_name ELSE '' END AS issuer_name, CASE WHEN ok THEN issuer_nip ELSE '' END AS issuer_nip, CASE WHEN ok THEN total_gross ELSE '' END AS total_gross, CASE WHEN ok THEN currency ELSE '' END AS currency,
+  CASE WHEN ok THEN printf('%.2f', confidence) ELSE '' END AS confidence, '0' AS processing_time_ms, CASE WHEN ok THEN '' ELSE 'no text' END AS error FROM d JOIN r ON r.doc_id = d.doc_id""",
     }
 
 
