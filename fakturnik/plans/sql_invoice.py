@@ -66,8 +66,10 @@ SELECT doc_id, coalesce(number, 'UNKNOWN') AS invoice_number, strftime(coalesce(
 
 def _oracles() -> dict[str, str]:
     from .extraction import ORACLES as extraction
+    from .sql import ORACLES as text
 
     whole = records(extraction["nip_matches"])
+    address = text["address_parts"].replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT doc_id, seller AS text FROM c)")
     return {
         "line_items": f"""WITH src AS (SELECT DISTINCT doc_id, number, text FROM pdf_pages), {_items('src', 'doc_id, number')}
 SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id, number ORDER BY k) - 1 AS at, description, ordinal, rate AS vat_rate, gross FROM item""",
@@ -75,6 +77,10 @@ SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id, number ORDER BY k
 y AS (SELECT a, len(a) > 0 AND (len(string_split_regex(t, '[|\\t]')) >= 3 OR len(list_filter(string_split_regex(t, '[\\s\\x0b\\p{{Z}}\\x{{0085}}]+'), lambda w: w <> '')) >= 4) AS is_item FROM x)
 SELECT is_item, count(*) AS lines, CAST(sum(CASE WHEN is_item THEN {_grosze('a[len(a)]')} END) AS BIGINT) AS gross FROM y GROUP BY is_item""",
         "invoice_records": whole,
+        "invoice_text": f"""WITH r AS ({whole}), doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_SECTIONS.replace('FROM documents WHERE text IS NOT NULL', 'FROM doc')}, adr AS ({address})
+SELECT r.doc_id, 'Invoice: ' || invoice_number || chr(10) || 'Date: ' || issue_date || chr(10) || chr(10) || 'Issuer:' || chr(10) || '  ' || issuer_name || chr(10) || CASE WHEN issuer_nip <> '' THEN '  NIP: ' || issuer_nip || chr(10) ELSE '' END || '  ' || adr.line
+  || chr(10) || chr(10) || 'Receiver:' || chr(10) || '  ' || receiver_name || chr(10) || CASE WHEN receiver_nip <> '' THEN '  NIP: ' || receiver_nip || chr(10) ELSE '' END || chr(10) || 'Summary:' || chr(10) || '  Net:   ' || total_net || ' PLN' || chr(10)
+  || '  VAT:   ' || total_vat || ' PLN' || chr(10) || '  Gross: ' || total_gross || ' PLN' || chr(10) || CASE WHEN due_date <> '' THEN chr(10) || 'Payment due: ' || due_date || chr(10) ELSE '' END AS summary FROM r JOIN adr ON adr.doc_id = r.doc_id""",
         "batch_summary": f"""WITH r AS ({whole}), d AS (SELECT doc_id, text IS NOT NULL AS ok FROM documents)
 SELECT 'doc' || d.doc_id || '.pdf' AS filename, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, CASE WHEN ok THEN invoice_number ELSE '' END AS invoice_number, CASE WHEN ok THEN issue_date ELSE '' END AS issue_date,
   CASE WHEN ok THEN issuer_name ELSE '' END AS issuer_name, CASE WHEN ok THEN issuer_nip ELSE '' END AS issuer_nip, CASE WHEN ok THEN total_gross ELSE '' END AS total_gross, CASE WHEN ok THEN currency ELSE '' END AS currency,
