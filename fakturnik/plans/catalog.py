@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, pages, quality, singles, sql, sql_invoice
+from . import extraction, pages, quality, singles, sql, sql_invoice, sql_loads
 
 _MODULES = [quality, extraction, pages, singles]
 
@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in [*_MODULES, sql, sql_invoice] for k, v in m.ORACLES.items()}
+    return {k: v for m in [*_MODULES, sql, sql_invoice, sql_loads] for k, v in m.ORACLES.items()}
