@@ -29,9 +29,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,9 @@ LONG_WORD = 40
 EDITED = 2_000
 #: Proposals that a worker holds at a time, about.
 PROPOSED = 10_000
+#: Words or lines, and documents as Python values, that a worker holds at a time. The batches that reach it hold up to 10,000 documents.
+HELD = 10_000
+DOCUMENTS = 20
 MARKS = "-¬‐­=‑"
 LETTERS = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźżäöüßé"
 #: The usual tails of running headings (folded).
@@ -278,10 +282,9 @@ def core(word: str) -> str:
     return c
 
 
-def tokens_of(pages: list) -> list[tuple]:
-    """(item, line key, word, next word, mark, place) of the running text of a document's pages."""
-    shaped = [(p["page"], [x["text"] or "" for x in p["lines"]]) for p in pages]
-    out = []
+def tokens_of(pages: list) -> Iterator[tuple]:
+    """(item, page number, line number, number of the word, word, next word, previous word, next item, place) of the running text of a document's pages."""
+    shaped = _shaped(pages)
     for number, ((_, lines), gone, p) in enumerate(zip(shaped, furniture(shaped), pages, strict=True)):
         items = [x["item"] for x in p["lines"]]
         kept = [i for i, t in enumerate(lines) if i not in gone and t.strip()]
@@ -290,43 +293,66 @@ def tokens_of(pages: list) -> list[tuple]:
                 continue
             words = lines[i].split()
             after = kept[k + 1] if k + 1 < len(kept) and lines[kept[k + 1]].count("|") < 2 else None
+            before = kept[k - 1] if k > 0 and lines[kept[k - 1]].count("|") < 2 else None
             for j, w in enumerate(words):
                 place = "first" if j == 0 and k > 0 else "last" if j == len(words) - 1 and after is not None else "in"
                 nxt = lines[after].split()[0] if j == len(words) - 1 and after is not None else None
-                before = kept[k - 1] if k > 0 and lines[kept[k - 1]].count("|") < 2 else None
                 prev = lines[before].split()[-1] if j == 0 and before is not None else None
-                out.append((items[i], number, i, j, w, nxt, prev, items[after] if nxt else None, place))
-    return out
+                yield items[i], number, i, j, w, nxt, prev, items[after] if nxt else None, place
+
+
+def _shaped(pages: list) -> list[tuple[int, list[str]]]:
+    return [(p["page"], [x["text"] or "" for x in p["lines"]]) for p in pages]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches, of which DOCUMENTS at a time become Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCUMENTS):
+            yield from batch.slice(at, DOCUMENTS).to_pylist()
 
 
-TOKENS = "record_table string, doc_id bigint, item int, page int, line int, at int, word string, next string, prev string, next_item int, place string"
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many of the rows, which may come from a part of a document."""
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of a few plain columns as Spark writes them."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+TOKENS = "record_table string, doc_id bigint, item int, page int, line int, at int, next_item int, place string, core string, a string, mark string, b string, pa string, pmark string, pb string"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for table, doc, pages in zip(pdf["record_table"], pdf["doc_id"], pdf["pages"], strict=True):
-                rows += [(table, doc, *t) for t in tokens_of(list(pages))]
-            out = pd.DataFrame(rows, columns=["record_table", "doc_id", "item", "page", "line", "at", "word", "next", "prev", "next_item", "place"])
-            yield out.astype({"next_item": "Int32"})
+    """The words of the running text in their forms: the word to judge, the parts where a line end follows (a, mark, b) and where one precedes (pa, pmark, pb)."""
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        cached, none = lru_cache(maxsize=200_000)(core), ("", "", "")
+        for row in _rows(batches):
+            for item, number, i, j, w, nxt, prev, next_item, place in tokens_of(row["pages"]):
+                cutting = (_meet(w, nxt) if nxt is not None else None) or none
+                cut_by = (_meet(prev, w) if prev is not None else None) or none
+                yield row["record_table"], row["doc_id"], item, number, i, j, next_item, place, cached(w), *cutting, *cut_by
 
-    return docs.mapInPandas(run, TOKENS)
+    return docs.mapInArrow(lambda batches: _batches(forms(batches), _arrow(TOKENS)), TOKENS)
 
 
 def furniture_lines(docs: DataFrame) -> DataFrame:
     """(record_table, doc_id, item, page, line, text) of the lines that are furniture."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for table, doc, pages in zip(pdf["record_table"], pdf["doc_id"], pdf["pages"], strict=True):
-                shaped = [(p["page"], [x["text"] or "" for x in p["lines"]]) for p in pages]
-                for number, (gone, p) in enumerate(zip(furniture(shaped), pages, strict=True)):
-                    rows += [(table, doc, p["lines"][i]["item"], number, i, p["lines"][i]["text"]) for i in sorted(gone)]
-            yield pd.DataFrame(rows, columns=["record_table", "doc_id", "item", "page", "line", "text"])
+    schema = "record_table string, doc_id bigint, item int, page int, line int, text string"
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for row in _rows(batches):
+            for number, (gone, p) in enumerate(zip(furniture(_shaped(row["pages"])), row["pages"], strict=True)):
+                for i in sorted(gone):
+                    yield row["record_table"], row["doc_id"], p["lines"][i]["item"], number, i, p["lines"][i]["text"]
 
-    return docs.mapInPandas(run, "record_table string, doc_id bigint, item int, page int, line int, text string")
+    return docs.mapInArrow(lambda batches: _batches(lines(batches), _arrow(schema)), schema)
 
 
 def _meet(word: str, following: str) -> tuple[str, str, str] | None:
@@ -338,18 +364,6 @@ def _meet(word: str, following: str) -> tuple[str, str, str] | None:
     return None
 
 
-def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forms of each token: the word to judge, the parts where a line end follows (a, mark, b) and where one precedes (pa, pmark)."""
-    cached = lru_cache(maxsize=200_000)(core)
-    for pdf in batches:
-        out = []
-        for w, n, p in zip(pdf["word"], pdf["next"], pdf["prev"], strict=True):
-            cutting = (_meet(w, n) if isinstance(n, str) else None) or ("", "", "")
-            cut_by = (_meet(p, w) if isinstance(p, str) else None) or ("", "", "")
-            out.append((cached(w), *cutting, *cut_by))
-        yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["core", "a", "mark", "b", "pa", "pmark", "pb"])], axis=1)
-
-
 ODD = rf"[{LETTERS}][0-9@†|][{LETTERS}]|^[0-9@†|][{LETTERS}]{{2,}}|[{LETTERS}]{{2,}}[0-9@†|]$|[†@]|[{LETTERS}][0-9]{{1,2}}[{LETTERS}]"
 
 
@@ -409,8 +423,7 @@ def proposed_joins(pairs: DataFrame, editor: Editor) -> DataFrame:
 
 def analysed(docs: DataFrame, places: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens with their forms, misread words with fixes, line ends that cut a word); without ``places`` the tokens have no place in the line."""
-    schema = TOKENS + ", core string, a string, mark string, b string, pa string, pmark string, pb string"
-    words = tokens(docs).mapInPandas(_cores, schema).drop("word", "next", "prev")
+    words = tokens(docs)
     words = cut(words if places else words.drop("page", "line", "at"), "scan-words")
     inside = words.filter("place = 'in' AND core <> ''").groupBy(F.col("core").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     inside = cut(inside, "scan-inside")
@@ -464,46 +477,45 @@ def repaired(ocr: DataFrame, boxes: DataFrame, results: DataFrame) -> DataFrame:
     changed = w.filter("joins OR (fixed IS NOT NULL AND fixed <> judged)")
     notes = changed.groupBy("record_table", "doc_id").agg(F.collect_list(F.struct("page", "line", "at", "judged", "fixed", "joins", "a", "b")).alias("notes"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for pages, notes in zip(pdf["pages"], pdf["notes"], strict=True):
-                by = {(x["page"], x["line"], x["at"]): x for x in (notes if notes is not None else [])}
-                shaped = [(p["page"], [x["text"] or "" for x in p["lines"]]) for p in pages]
-                whole = []
-                for number, ((_, lines), gone) in enumerate(zip(shaped, furniture(shaped), strict=True)):
-                    width = max((len(t) for t in lines), default=0)
-                    text, carried = "", None
-                    for i, t in enumerate(lines):
-                        if i in gone or not t.strip():
-                            continue
-                        if t.count("|") >= 2:
-                            text += ("\n" if text else "") + t.strip() + "\n"
+    schema = "record_table string, doc_id bigint, text string"
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for row in _rows(batches):
+            by = {(x["page"], x["line"], x["at"]): x for x in row["notes"] or []}
+            shaped = _shaped(row["pages"])
+            whole = []
+            for number, ((_, lines), gone) in enumerate(zip(shaped, furniture(shaped), strict=True)):
+                width = max((len(t) for t in lines), default=0)
+                text, carried = "", None
+                for i, t in enumerate(lines):
+                    if i in gone or not t.strip():
+                        continue
+                    if t.count("|") >= 2:
+                        text += ("\n" if text else "") + t.strip() + "\n"
+                        continue
+                    parts, joined = t.split(), False
+                    if carried is not None:  # the second half of a word that the line before began
+                        rest = parts[0][len(carried) :] if parts[0].startswith(carried) else ""
+                        text, parts = text + rest + (" " if len(parts) > 1 else ""), parts[1:]
+                        carried = None
+                        shift = 1
+                    else:
+                        shift = 0
+                    for j, word in enumerate(parts):
+                        x = by.get((number, i, j + shift))
+                        if x is None:
                             continue
-                        parts, joined = t.split(), False
-                        if carried is not None:  # the second half of a word that the line before began
-                            rest = parts[0][len(carried) :] if parts[0].startswith(carried) else ""
-                            text, parts = text + rest + (" " if len(parts) > 1 else ""), parts[1:]
-                            carried = None
-                            shift = 1
+                        new = x["fixed"] or x["judged"]
+                        if x["joins"]:
+                            head = word[: word.find(x["a"])] if x["a"] in word else ""
+                            parts[j], carried, joined = head + new, x["b"], True
                         else:
-                            shift = 0
-                        for j, word in enumerate(parts):
-                            x = by.get((number, i, j + shift))
-                            if x is None:
-                                continue
-                            new = x["fixed"] or x["judged"]
-                            if x["joins"]:
-                                head = word[: word.find(x["a"])] if x["a"] in word else ""
-                                parts[j], carried, joined = head + new, x["b"], True
-                            else:
-                                parts[j] = word.replace(x["judged"], new)
-                        text += " ".join(parts)
-                        short = len(t) < 0.6 * width and not joined
-                        joined = joined or bool(re.search(r"\w-$", t.strip()))  # a compound keeps its hyphen
-                        text += "" if joined else "\n" if short and re.search(r"[.:;!?\d]$", t.strip()) else " "
-                    whole.append(re.sub(r"[ \n]*\n[ \n]*", "\n", text).strip())
-                texts.append("\n\n".join(whole))
-            yield pdf[["record_table", "doc_id"]].assign(text=texts)
-
-    return docs.join(notes, ["record_table", "doc_id"], "left").mapInPandas(run, "record_table string, doc_id bigint, text string")
+                            parts[j] = word.replace(x["judged"], new)
+                    text += " ".join(parts)
+                    short = len(t) < 0.6 * width and not joined
+                    joined = joined or bool(re.search(r"\w-$", t.strip()))  # a compound keeps its hyphen
+                    text += "" if joined else "\n" if short and re.search(r"[.:;!?\d]$", t.strip()) else " "
+                whole.append(re.sub(r"[ \n]*\n[ \n]*", "\n", text).strip())
+            yield row["record_table"], row["doc_id"], "\n\n".join(whole)
+
+    return docs.join(notes, ["record_table", "doc_id"], "left").mapInArrow(lambda batches: _batches(texts(batches), _arrow(schema), DOCUMENTS), schema)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +214,29 @@ def test_scan_cases(spark):
     assert "dziale" in text["ocr_results", 51]
 
 
+@pytest.mark.parametrize("step", [scan_noise.tokens, scan_noise.furniture_lines])
+def test_a_worker_holds_few_words_of_a_large_batch(step):
+    lines = [{"item": 1, "text": "Alfa S.A. | umowa dostawy   1"}, *({"item": 1, "text": f"zaległą notę odsetkową w dziale {i}"} for i in range(30)), {"item": 1, "text": "Strona 1 z 2"}]
+    docs = [{"record_table": "ocr_results", "doc_id": i, "pages": [{"page": 1, "lines": lines}]} for i in range(2_000)]
+    batch, peaks, rows = pa.RecordBatch.from_pylist(docs), [], []
+
+    class Worker:
+        """Stands in for a worker of Spark that is sent one batch."""
+
+        def run(self, f, given):
+            tracemalloc.start()
+            for out in f(given):
+                rows.append(len(out))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+        mapInArrow = lambda self, f, schema: self.run(f, iter([batch]))  # noqa: E731, N815
+        mapInPandas = lambda self, f, schema: self.run(f, (b.to_pandas() for b in [batch]))  # noqa: E731, N815
+
+    step(Worker())
+    assert sum(rows) == (360_000 if step is scan_noise.tokens else 4_000) and peaks[0] < 8e6
+
+
 # --- names and addresses ------------------------------------------------------------------------------
 
 
