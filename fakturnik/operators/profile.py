@@ -15,12 +15,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import nip_ok
-from ..runtime import shared_folder
+from ..runtime import cut, shared_folder
 
 #: What a broken-value rule may look at, one slot for each type of context.
 JUDGED = "struct<text:string,gross:decimal(20,2),net:decimal(20,2),vat:decimal(20,2),issued:date,due:date>"
@@ -299,19 +299,20 @@ def notation_distance(state: DataFrame) -> DataFrame:
     """Per (field, load): half the summed difference between the load's notation shares and the median shares.
 
     Notations that stay under 2 % in every load are pooled as one, so the table is bounded by loads times a
-    few notations; a share that a load lacks counts as zero.
+    few notations; a share that a load lacks counts as zero. What is used several times is cut, else the
+    driver plans the counts' whole lineage once for every use.
     """
-    shapes = state.filter(F.col("value").isNotNull()).withColumn("shape", notation(F.col("value"))).groupBy("field", "load", "shape").agg(F.sum("n").alias("n"))
+    shapes = cut(state.filter(F.col("value").isNotNull()).withColumn("shape", notation(F.col("value"))).groupBy("field", "load", "shape").agg(F.sum("n").alias("n")), "shapes")
     totals = shapes.groupBy("field", "load").agg(F.sum("n").alias("known"))
     shares = shapes.join(totals, ["field", "load"]).withColumn("share", F.col("n") / F.col("known"))
     usual = shares.filter(F.col("share") >= 0.02).select("field", "shape").distinct().withColumn("kept", F.col("shape"))
     pooled = shares.join(usual, ["field", "shape"], "left").withColumn("shape", F.coalesce("kept", F.lit(RARE)))
-    shares = pooled.groupBy("field", "load", "shape").agg(F.sum("share").alias("share"))
+    shares = cut(pooled.groupBy("field", "load", "shape").agg(F.sum("share").alias("share")), "shares")
     common = shares.select("field", "shape").distinct()
-    grid = totals.join(common, "field").join(shares.select("field", "load", "shape", "share"), ["field", "load", "shape"], "left")
+    grid = totals.join(common, "field").join(shares, ["field", "load", "shape"], "left")
     grid = grid.withColumn("share", F.coalesce(F.col("share"), F.lit(0.0)))
-    middle = grid.groupBy("field", "shape").agg(F.expr("percentile(share, 0.5)").alias("usual"))
-    return grid.join(middle, ["field", "shape"]).groupBy("field", "load").agg((F.sum(F.abs(F.col("share") - F.col("usual"))) / 2).alias("apart"))
+    grid = grid.withColumn("usual", F.expr("percentile(share, 0.5)").over(Window.partitionBy("field", "shape")))
+    return grid.groupBy("field", "load").agg((F.sum(F.abs(F.col("share") - F.col("usual"))) / 2).alias("apart"))
 
 
 def load_departures(state: DataFrame, fields: list[FieldSpec], skip: tuple[str, ...] = ()) -> DataFrame:
@@ -322,12 +323,10 @@ def load_departures(state: DataFrame, fields: list[FieldSpec], skip: tuple[str,
     when it is apart by 0.25; a range when its middle moves by more than eight robust deviations and by
     a whole unit of the scale (a power of ten of an amount, or half of it, or 21 days).
     """
-    m = load_metrics(state, fields).join(notation_distance(state), ["field", "load"], "left")
-    measures = ["null_share", "top_share", "middle"]
-    usual = m.groupBy("field").agg(*[F.expr(f"percentile({c}, 0.5)").alias(f"usual_{c}") for c in measures])
-    off = m.join(usual, "field")
-    spread = off.groupBy("field").agg(*[(F.expr(f"percentile(abs({c} - usual_{c}), 0.5)") * 1.4826).alias(f"spread_{c}") for c in measures])
-    off = off.join(spread, "field")
+    off = cut(load_metrics(state, fields).join(notation_distance(state), ["field", "load"], "left"), "loads")
+    measures, of_field = ["null_share", "top_share", "middle"], Window.partitionBy("field")
+    off = off.withColumns({f"usual_{c}": F.expr(f"percentile({c}, 0.5)").over(of_field) for c in measures})
+    off = off.withColumns({f"spread_{c}": F.expr(f"percentile(abs({c} - usual_{c}), 0.5)").over(of_field) * 1.4826 for c in measures})
 
     def share(c: str) -> Column:
         gap, p = F.abs(F.col(c) - F.col(f"usual_{c}")), F.col(f"usual_{c}")

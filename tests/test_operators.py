@@ -114,6 +114,17 @@ def test_rare_notations_count_in_full(spark):
     assert got == {1: 0.0, 2: 0.0, 3: 0.0, 4: pytest.approx(0.4)}
 
 
+def test_loads_are_compared_by_small_plans(spark, monkeypatch):
+    # the driver plans and runs them: one plan that repeats the counts' lineage for every use has 80 exchanges here
+    plans, rows = [], [invoice(10 * load + i, load=load, number=f"FV/{i}") for load in (1, 2) for i in range(3)]
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or df
+    monkeypatch.setattr(profile, "cut", lambda df, label="cut", cut=getattr(profile, "cut", None): cut(seen(df), label), raising=False)
+    state = profile.CountStore(spark).commit(profile.counts(spark.createDataFrame(rows, SCHEMA), profile.invoice_fields()))
+    seen(profile.notation_distance(state)), seen(profile.load_departures(state, profile.invoice_fields()))
+    seen(profile.quality_cases(spark.createDataFrame(rows, SCHEMA)))
+    assert max(plans) <= 15, plans
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert profile.quality_cases(none).count() == 0
